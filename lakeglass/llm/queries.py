@@ -5,16 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeglass.llm import bpe_codec, kd_sharding, license_scan, token_counts, url_rules
+from lakeglass.llm import bpe_codec, kd_sharding, language_id, license_scan, token_counts, toxicity, url_rules
 from lakeglass.llm.session import table
 
 TOKEN_LIMIT = 4096
 SHARDS = 24
 
 
+def held_out() -> Column:
+    """Rows that no label is learned from."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = toxicity.learn(docs.where(~held_out()), table(spark, sf_dir, "labels").where(~held_out()))
+    return toxicity.score_documents(docs, net, threshold=0.3).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=TOKEN_LIMIT)
 
@@ -32,15 +43,23 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn(docs.where(~held_out()))
+    return language_id.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
     "op4_url_filters": op4_url_filters,
     "op5_sharding": op5_sharding,
     "op8_bpe_codec": op8_bpe_codec,
+    "op9_language_id": op9_language_id,
     "op10_license_scans": op10_license_scans,
 }
 
