@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeglass.llm import bpe_codec, kd_sharding, language_id, license_scan, token_counts, toxicity, url_rules, vector_search
+from lakeglass.llm import bpe_codec, jaccard_join, kd_sharding, language_id, license_scan, token_counts, toxicity, url_rules, vector_search
 from lakeglass.llm.session import table
 
 TOKEN_LIMIT = 4096
@@ -39,6 +39,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), percent=80)
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op4_url_filters": op4_url_filters,
     "op5_sharding": op5_sharding,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_bpe_codec": op8_bpe_codec,
     "op9_language_id": op9_language_id,
