@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeglass.llm import bpe_codec, jaccard_join, kd_sharding, language_id, license_scan, token_counts, toxicity, url_rules, vector_search
+from lakeglass.llm import bpe_codec, decontamination, jaccard_join, kd_sharding, language_id, license_scan, token_counts, toxicity, url_rules, vector_search
 from lakeglass.llm.session import table
 
 TOKEN_LIMIT = 4096
@@ -30,6 +30,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=TOKEN_LIMIT)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -64,6 +68,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
+    "op3_decontamination": op3_decontamination,
     "op4_url_filters": op4_url_filters,
     "op5_sharding": op5_sharding,
     "op6_jaccard_join": op6_jaccard_join,
