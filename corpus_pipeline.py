@@ -18,15 +18,12 @@ from lakeglass.llm.queries import held_out
 from lakeglass.llm.session import ensure_checkpoint_dir, table
 
 TOXIC_SCORE = 0.3
-#: Texts in a language that is much less sure than this are rejected, and texts without letters.
-LANGUAGE_SCORE = 0.02
 
 
 def _keep(docs: DataFrame, decisions: DataFrame, kept) -> DataFrame:
     """The rows of ``docs`` whose id is among the kept decisions.
 
-    Decisions are one row per id at least; with several, one that keeps is enough
-    for none: every row with the id must be kept.
+    Where rows share an id, all of their decisions must keep it.
     """
     good = decisions.groupBy("doc_id").agg(F.min(kept.cast("int")).alias("_kept")).where("_kept = 1").select(F.col("doc_id").alias("_id"))
     return docs.join(good, docs["doc_id"].eqNullSafe(good["_id"]), "left_semi")
@@ -40,10 +37,13 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose text has no letter, or fits no learned language."""
+    """Drop documents without a language: no letter in the text, or nothing to learn from.
+
+    A low score alone rejects nothing, since short clean texts have low scores.
+    """
     model = language_id.learn(docs.where(~held_out()))
     found = language_id.identify(docs, model)
-    return _keep(docs, found, (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE))
+    return _keep(docs, found, F.col("lang_pred") != language_id.UNKNOWN)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
