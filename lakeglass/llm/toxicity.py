@@ -2,7 +2,7 @@
 
 A text is cut into overlapping windows of words.  Each word enters as a hashed
 word vector, the mean of hashed character n-gram vectors, and evidence features
-(log-odds of the word and of its strongest n-gram, estimated on the training
+(log-odds of the word and of its strongest n-grams, estimated on the training
 sample).  A gated recurrent network reads a window in both directions, attention
 pools its states, and a logistic unit scores it.  A text's score is that of its
 worst window, so one bad passage in a long text counts.
@@ -33,7 +33,15 @@ WORD_BUCKETS, CHAR_BUCKETS = 1 << 12, 1 << 13
 EVIDENCE_BUCKETS = 1 << 20
 GRAMS = (4, 5, 6)
 EVIDENCE = 2
-EPOCHS = 8
+EPOCHS = 5
+#: Small samples get more epochs, up to this many steps, and MAX_EPOCHS.
+LEAST_STEPS, MAX_EPOCHS = 120, 30
+#: Parts for the cross-fitting of evidence.
+PARTS = 4
+#: Speed and decay of the hashed vectors.
+VECTOR_RATE, VECTOR_DECAY = 0.03, 0.2
+#: Characters of one training step.
+BATCH_CHARS = 150_000
 #: Documents of each label that the network is fitted on.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 800, 1200
 #: Longer documents are left out of the sample, which bounds its bytes.
@@ -131,12 +139,18 @@ class Counts:
                 own = pairs[y[pairs // width] == label] % width
                 table[label] += np.bincount(own, minlength=table.shape[1])
 
-    def __add__(self, other: Counts) -> Counts:
+    def _combine(self, other: Counts, sign: int) -> Counts:
         out = Counts()
-        out.n = [a + b for a, b in zip(self.n, other.n, strict=True)]
-        out.word, out.char = self.word + other.word, self.char + other.char
+        out.n = [a + sign * b for a, b in zip(self.n, other.n, strict=True)]
+        out.word, out.char = self.word + sign * other.word, self.char + sign * other.char
         return out
 
+    def __add__(self, other: Counts) -> Counts:
+        return self._combine(other, 1)
+
+    def __sub__(self, other: Counts) -> Counts:
+        return self._combine(other, -1)
+
 
 class Network:
     """Parameters, forward pass, and gradients of the window scorer."""
@@ -168,13 +182,16 @@ class Network:
         vectors = np.vstack([self.p["char"], np.zeros((1, CHAR_DIM), _F)])
         n_grams = np.zeros(len(block.grams[0]), _F)
         total = np.zeros((len(block.grams[0]), CHAR_DIM), _F)
-        top = np.zeros(len(block.grams[0]), _F)
+        tops = []
         for g in block.grams:
             total += vectors[_vector_bucket(g)]
             n_grams += g < EVIDENCE_BUCKETS
-            np.maximum(top, self.evidence.char[g], out=top)
+            tops.append(np.maximum.reduceat(self.evidence.char[g], block.gram_begin))
         mean = np.add.reduceat(total, block.gram_begin, axis=0) / np.maximum(np.add.reduceat(n_grams, block.gram_begin), 1)[:, None]
-        strongest = np.maximum.reduceat(top, block.gram_begin)
+        # Second best of the three sizes: a telling part of a word shows in n-grams of
+        # several sizes, a collision of buckets in one.
+        a, b, c = tops
+        strongest = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))
         evidence = np.stack([self.evidence.word[block.word], strongest], axis=1) * _F(0.5)
         return np.concatenate([self.p["word"][block.word % WORD_BUCKETS], mean, evidence], axis=1)
 
@@ -314,12 +331,15 @@ def _sum_by(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(rows, weights=values[:, j], minlength=n) for j in range(values.shape[1])], axis=1).astype(_F)
 
 
-def train(texts: list[str], toxic: list[int], *, epochs: int = EPOCHS, seed: int = 7) -> Network:
+def train(texts: list[str], toxic: list[int], *, share: float | None = None, epochs: int = EPOCHS, seed: int = 7) -> Network:
     """Fit a network by Adam; with one label only, or none, scores stay near that label.
 
-    Evidence is cross-fitted: while training, each half of the documents gets the
-    evidence that the other half gives, so the network learns how far to trust
-    evidence on documents that did not contribute to it.
+    ``share`` is the share of label 1 among all labels, that of the sample if not given.
+
+    Evidence is cross-fitted: while training, each part of the documents gets the
+    evidence that the other parts give, so the network learns how far to trust
+    evidence on documents that did not contribute to it.  The hashed vectors learn
+    slowly and decay, or they would learn the sample by heart.
     """
     net = Network(seed)
     labels = np.array(toxic, dtype=np.float64)
@@ -328,30 +348,32 @@ def train(texts: list[str], toxic: list[int], *, epochs: int = EPOCHS, seed: int
         net.p["out"][:] = 0
         net.p["bias"][0] = 4.0 if n_toxic else -4.0
         return net
-    # Both labels are dealt evenly to the halves.
-    half = np.empty(len(labels), dtype=np.int64)
+    # Both labels are dealt evenly to the parts.
+    part_of = np.empty(len(labels), dtype=np.int64)
     for label in (0, 1):
         own = np.flatnonzero(labels == label)
-        half[own] = np.arange(len(own)) % 2
-    batches, counts = [], [Counts(), Counts()]
-    for k in (0, 1):
-        own = np.flatnonzero(half == k)
-        for begin, part in blocks(pa.array([texts[i] for i in own], pa.string()), 400_000):
+        part_of[own] = np.arange(len(own)) % PARTS
+    batches, counts = [], [Counts() for _ in range(PARTS)]
+    for k in range(PARTS):
+        own = np.flatnonzero(part_of == k)
+        for begin, part in blocks(pa.array([texts[i] for i in own], pa.string()), BATCH_CHARS):
             if (block := prepare(part)) is not None:
                 y = labels[own[begin : begin + len(part)]]
                 counts[k].add(block, y)
                 batches.append((k, block, y))
-    by_half = [Evidence.of(counts[1]), Evidence.of(counts[0])]
+    whole = sum(counts[1:], counts[0])
+    elsewhere = [Evidence.of(whole - c) for c in counts]
     rng = np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
     weight_toxic = _F(min(n_clean / n_toxic, 3.0))
+    epochs = max(epochs, min(MAX_EPOCHS, -(-LEAST_STEPS // len(batches))))
     for epoch in range(epochs):
         rate = 0.03 * (1 - epoch / epochs) + 0.003
         for i in rng.permutation(len(batches)):
             k, block, y = batches[i]
-            net.evidence = by_half[k]
+            net.evidence = elsewhere[k]
             x = net.inputs(block)
             if epoch < 2:
                 # Before much is learned, the window with most evidence stands for its text.
@@ -367,8 +389,14 @@ def train(texts: list[str], toxic: list[int], *, epochs: int = EPOCHS, seed: int
             for name, g in grads.items():
                 first[name] = _F(0.9) * first[name] + _F(0.1) * g
                 second[name] = _F(0.99) * second[name] + _F(0.01) * g * g
-                net.p[name] = net.p[name] - _F(rate) * (first[name] / _F(1 - 0.9**step)) / (np.sqrt(second[name] / _F(1 - 0.99**step)) + _F(1e-5))
-    net.evidence = Evidence.of(counts[0] + counts[1])
+                slow = VECTOR_RATE if name in ("word", "char") else 1.0
+                if slow < 1:
+                    net.p[name] *= _F(1 - rate * VECTOR_DECAY)
+                net.p[name] = net.p[name] - _F(rate * slow) * (first[name] / _F(1 - 0.9**step)) / (np.sqrt(second[name] / _F(1 - 0.99**step)) + _F(1e-5))
+    net.evidence = Evidence.of(whole)
+    # The sample and its weights overstate label 1: shift the odds to its share of all labels.
+    share = n_toxic / len(labels) if share is None else min(max(share, 0.001), 0.999)
+    net.p["bias"] = net.p["bias"] + _F(np.log(share / (1 - share)) - np.log(weight_toxic * n_toxic / n_clean))
     return net
 
 
@@ -393,7 +421,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     rows = []
     for y, most in bound.items():
         rows += texts.join(F.broadcast(chosen.where(F.col("y") == y).orderBy("h", id_col).limit(2 * most)), id_col).orderBy("h", id_col, "text").limit(most).select("text", "y").collect()
-    return train([r["text"] for r in rows], [int(r["y"]) for r in rows])
+    n_all = sizes.get(0, 0) + sizes.get(1, 0)
+    return train([r["text"] for r in rows], [int(r["y"]) for r in rows], share=sizes.get(1, 0) / n_all if n_all else None)
 
 
 def score_documents(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -37,12 +37,10 @@ def gram_buckets(words: Words, which: np.ndarray, sizes: tuple[int, ...], n_buck
     out = []
     with np.errstate(over="ignore"):
         h = np.zeros(total, dtype=np.uint64)
-        done = 0
         for n in range(1, max(sizes) + 1):
             shifted = np.zeros(total, dtype=np.uint64)
-            shifted[: total - n + 1] = code[n - 1 :]
+            shifted[: max(0, total - n + 1)] = code[n - 1 :]
             h = h * _BASE + shifted
-            done += 1
             if n in sizes:
                 b = (mix(h + np.uint64(n)) % np.uint64(n_buckets)).astype(np.int64)
                 b[left < n] = n_buckets
