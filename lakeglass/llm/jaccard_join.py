@@ -9,14 +9,20 @@ asks for more matches before a pair is verified.  The choice weighs the tokens
 sent against the candidates expected from how frequent its prefix tokens are.  A
 pair is a candidate if it shares at least the smaller of the two ``l``.
 
-The global order puts frequent shingles last: those that repeat within a block of
-texts anywhere are counted over all documents, and the most frequent of them come
-last, by count; all others are ordered by hash.  Any order gives the same links.
-
-Copies (equal sets) are one node.  Within a token's bucket, documents first
-propose a link to the bucket's hub only; once links have joined documents into
-components, only pairs across components are enumerated, since others cannot
-change the result.  Hubs are drawn anew while the pairs left are many.
+The global order puts frequent shingles last: those that repeat among the texts
+that one task holds at a time are counted over all documents, and the most frequent
+of them come last, by count; all others are ordered by hash.  Any order gives the
+same links.
+
+Copies (equal sets) are one node.  While the pairs that buckets hold are many, every
+document proposes a link to one hub, that of most of its buckets; once links have
+joined documents into components, only pairs across components are enumerated,
+since others cannot change the result.
+
+Before sets are fetched, a candidate must pass a bitmap test: a bit set for one
+document and not for the other proves a shingle that is not shared, which bounds
+the overlap from above.  Bitmaps have 2 to 4 bits per shingle, so they are small
+enough to send along with pairs; the sets are only made for what passes.
 """
 
 from __future__ import annotations
@@ -37,17 +43,19 @@ SHINGLE = 5
 PERCENT = 80
 #: The longest prefix extension a document may choose.
 MAX_MATCHES = 6
-#: Repeats within a block of texts from which a shingle is counted.
-LOCAL_REPEATS = 4
+#: Shingles that a task holds for counting, and the repeats among them from which one is counted.
+COUNTED_TOGETHER = 4_000_000
+LOCAL_REPEATS = 3
 #: The most frequent shingles that come last in the order; bounds the broadcast to 2 MB.
 FREQUENT = 1 << 17
 #: Cost of verifying a candidate, in tokens sent, for a pair of one-token documents and per token.
 VERIFY_BASE, VERIFY_TOKEN = 4.0, 0.05
-#: Pairs per document that may be enumerated before hubs are drawn anew.
-PAIRS_PER_NODE = 8
-#: Buckets up to this size are enumerated without hubs.
+#: Pairs per document that are enumerated without another round of hubs.
+PAIRS_PER_NODE = 4
+#: Buckets up to this size have no hub.
 SMALL_BUCKET = 4
-MAX_HUB_ROUNDS = 6
+#: Rounds of hubs end when one leaves more than this share of the pairs, or after so many.
+WORTHWHILE, MAX_HUB_ROUNDS = 0.7, 4
 #: A set of document ids is broadcast only up to this many.
 BROADCAST_IDS = 1_000_000
 
@@ -113,31 +121,66 @@ class Order:
         return s[: base + l], l
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """One bit for each shingle's hash, in a power of two of 2 to 4 bits per shingle (64 at least)."""
+    size = max(64, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[(s & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_overlap(a: bytes, b: bytes, na: int, nb: int, percent: int) -> bool:
+    """Whether two bitmaps allow the similarity; the larger is folded onto the smaller first."""
+    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    only_x, only_y = int(np.bitwise_count(x & ~y).sum()), int(np.bitwise_count(y & ~x).sum())
+    common = min(na - only_x, nb - only_y)
+    return 100 * common >= percent * (na + nb - common)
+
+
 def _describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per document (id, n, f1, f2), and rows of shingles that repeat within a block."""
+    """One row per document (id, n, f1, f2, bits), and rows with n = -1 of shingles that repeat."""
+    names = ["id", "n", "f1", "f2", "bits", "tokens", "counts"]
+
+    def repeats(sets: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
+        often = counts >= LOCAL_REPEATS
+        none, zero = pa.array([None], pa.int64()), pa.array([0], pa.int64())
+        lists = [pa.array([x], pa.list_(pa.int64())) for x in (tokens[often].view(np.int64), counts[often])]
+        return pa.RecordBatch.from_arrays([none, pa.array([-1], pa.int64()), zero, zero, pa.array([None], pa.binary()), *lists], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        n_held = 0
         for batch in batches:
-            ids = batch.column(0)
             for begin, texts in blocks(batch.column(1)):
                 sets = shingle_sets(texts)
                 prints = [fingerprint(s) for s in sets]
-                tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
-                often = counts >= LOCAL_REPEATS
-                k = len(texts)
+                empty = pa.nulls(len(texts), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(begin, k),
+                        batch.column(0).slice(begin, len(texts)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([f for f, _ in prints], pa.int64()),
                         pa.array([f for _, f in prints], pa.int64()),
-                        pa.array([tokens[often].view(np.int64)] + [None] * (k - 1), pa.list_(pa.int64())),
-                        pa.array([counts[often]] + [None] * (k - 1), pa.list_(pa.int64())),
+                        pa.array([bitmap(s) for s in sets], pa.binary()),
+                        empty,
+                        empty,
                     ],
-                    names=["id", "n", "f1", "f2", "tokens", "counts"],
+                    names=names,
                 )
+                held += sets
+                n_held += sum(map(len, sets))
+                if n_held >= COUNTED_TOGETHER:
+                    yield repeats(held)
+                    held, n_held = [], 0
+        if held:
+            yield repeats(held)
 
-    return docs.select(F.col(id_col).cast("bigint"), text_col).mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, tokens array<bigint>, counts array<bigint>")
+    return docs.select(F.col(id_col).cast("bigint"), text_col).mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, bits binary, tokens array<bigint>, counts array<bigint>")
 
 
 def _prefixes(docs: DataFrame, id_col: str, text_col: str, order: Order, percent: int) -> DataFrame:
@@ -186,11 +229,29 @@ def _similar_sizes(a: str, b: str, percent: int):
     return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs ``a, b`` whose sets are similar enough."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+def _may_link(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Those pairs ``a, b`` whose bitmaps allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, na, nb, xa, xb = (c.to_pylist() for c in batch.columns)
+            ok = [i for i in range(len(a)) if may_overlap(xa[i], xb[i], na[i], nb[i], percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in ok], pa.int64()), pa.array([b[i] for i in ok], pa.int64())], names=["a", "b"])
+
+    both = pairs.join(bits.selectExpr("id as a", "n as na", "bits as xa"), "a").join(bits.selectExpr("id as b", "n as nb", "bits as xb"), "b")
+    return both.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, bits: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Those pairs ``a, b`` whose sets are similar enough: by bitmaps first, then by the sets."""
+    pairs = materialise(_may_link(pairs, bits, percent))
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    mine = docs.select(F.col(id_col).cast("bigint").alias("_i"), F.col(text_col).alias("_x"))
+    sets = materialise(_sets(mine.join(few, mine["_i"] == few["id"], "left_semi"), "_i", "_x"))
+    both = pairs.join(sets.selectExpr("id as a", "s as sa"), "a").join(sets.selectExpr("id as b", "s as sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
+    return materialise(both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct())
 
 
 def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,9 +266,10 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, id_col: str =
     """
     spark = docs.sparkSession
     described = materialise(_describe(docs, id_col, text_col))
-    rows = described.select("id", "n", "f1", "f2")
+    rows = described.where("n >= 0").select("id", "n", "f1", "f2")
+    bits = described.where("n > 0 and id is not null").select("id", "n", "bits")
     frequent = (
-        described.where("tokens is not null")
+        described.where("n = -1")
         .select(F.explode(F.arrays_zip("tokens", "counts")).alias("t"))
         .groupBy(F.col("t.tokens").alias("token"))
         .agg(F.sum("t.counts").alias("c"))
@@ -225,42 +287,34 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, id_col: str =
     of_token = "count(*) over (partition by token)"
     met = _prefixes(docs, id_col, text_col, order, percent).selectExpr("*", f"{of_token} as k").where("k > 1").drop("k")
     kept = met.join(copies.select("id"), "id", "left_anti").distinct()
-    buckets = materialise(kept.selectExpr("*", f"{of_token} as k").where("k > 1"))
-    wanted = materialise(buckets.select("id").distinct())
-    n_wanted = wanted.count()
-    mine = docs.select(F.col(id_col), F.col(text_col)).withColumn("_i", F.col(id_col).cast("bigint"))
-    few = F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted
-    sets = materialise(_sets(mine.join(few, mine["_i"] == few["id"], "left_semi").select(id_col, text_col), id_col, text_col).distinct())
+    buckets = materialise(kept.selectExpr("*", f"{of_token} as k").where("k > 1").drop("k"))
+    n_nodes = buckets.select("id").distinct().count()
 
     links = copies.select(F.col("id").alias("a"), F.col("node").alias("b"))
-    component = None
-    left = buckets
-    tried = None
+    left = buckets.withColumn("c", F.col("id"))
+    tried, before = None, None
     for round_ in range(MAX_HUB_ROUNDS + 1):
         # Pairs across components that enumeration would still have to look at.
-        if component is None:
-            members = left.withColumn("c", F.col("id"))
-        else:
-            members = left.drop("c").join(component.select(F.col("node").alias("id"), F.col("component")), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        per = members.groupBy("token", "c").agg(F.count("*").alias("m"))
+        per = left.groupBy("token", "c").agg(F.count("*").alias("m"))
         mixed = per.groupBy("token").agg(F.count("*").alias("parts"), F.sum("m").alias("size"), F.sum(F.col("m") * F.col("m")).alias("square")).where("parts > 1")
         mixed = materialise(mixed.select("token", "size", ((F.col("size") * F.col("size") - F.col("square")) / 2).alias("pairs")))
-        left = materialise(members.join(mixed, "token", "left_semi"))
-        # Small buckets cannot get out of hand and are not proposed to hubs.
+        left = materialise(left.join(mixed.select("token"), "token", "left_semi"))
         pairs_left = mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("p")).first()["p"]
-        if round_ == MAX_HUB_ROUNDS or pairs_left <= PAIRS_PER_NODE * max(n_wanted, 1_000):
+        if round_ == MAX_HUB_ROUNDS or pairs_left <= PAIRS_PER_NODE * n_nodes or (before is not None and pairs_left > WORTHWHILE * before):
             break
+        before = pairs_left
         large = left.join(mixed.where(F.col("size") > SMALL_BUCKET).select("token"), "token", "left_semi")
         hubs = large.groupBy("token").agg(F.min_by(F.struct("id", "n", "c"), F.xxhash64("id", F.lit(round_))).alias("hub"))
         proposed = large.join(hubs, "token").where((F.col("c") != F.col("hub.c")) & _similar_sizes("n", "hub.n", percent))
-        proposed = proposed.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+        most = proposed.groupBy("id", F.col("hub.id").alias("hub")).agg(F.count("*").alias("m")).groupBy("id").agg(F.max_by("hub", F.struct("m", "hub")).alias("hub"))
+        pairs = most.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         if tried is not None:
-            proposed = proposed.join(tried, ["a", "b"], "left_anti")
-        proposed = materialise(proposed)
-        tried = proposed if tried is None else tried.unionByName(proposed)
-        found = materialise(_verify(proposed, sets, percent))
-        links = links.unionByName(found)
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialise(pairs)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = links.unionByName(_verify(pairs, docs, bits, percent, id_col, text_col))
         component = materialise(connected_components(links))
+        left = left.drop("c").join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
 
     # The rest: every pair across components that shares enough prefix tokens.
     one = left.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("c").alias("ca"))
@@ -275,7 +329,7 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, id_col: str =
     )
     if tried is not None:
         shared = shared.join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(materialise(_verify(materialise(shared), sets, percent)))
+    links = links.unionByName(_verify(materialise(shared), docs, bits, percent, id_col, text_col))
     component = connected_components(links)
     return rows.join(component, rows["id"] == component["node"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
