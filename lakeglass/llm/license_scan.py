@@ -147,3 +147,22 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
 def _grams(words: Column) -> Column:
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     return F.array_distinct(pairs)
+
+
+def duckdb_sql(source: str = "documents", templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
+    """The same scan for DuckDB, with ``licenses`` joined by commas: no anchors, every segment meets every template."""
+    values = ", ".join(
+        f"('{t.license}', {t.number}, {t.low}, {t.high}, [" + ", ".join("'" + g + "'" for g in t.bigrams) + "])" for t in prepare(templates, threshold)
+    )
+    return f"""
+with t(license, number, low, high, grams) as (values {values}),
+d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low from {source}),
+s as (select doc_id, unnest(list_distinct(list_concat(list_concat(string_split(low, chr(10)), string_split(regexp_replace(low, '([.!?;])[^a-z0-9.\\n]*[ \\t\\n\\r]', '\\1' || chr(10), 'g'), chr(10))), [low]))) as seg from d),
+w as (select doc_id, seg, list_filter(string_split(regexp_replace(seg, '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') as words from s),
+g as (select doc_id, seg, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) as grams from w),
+m as (select doc_id, seg, max_by(license, (dice, -number)) as license, max(dice) as dice
+      from (select g.doc_id, g.seg, t.license, t.number, 2.0::double * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) as dice from g join t on len(g.grams) between t.low and t.high)
+      where dice >= {threshold} group by doc_id, seg),
+top as (select doc_id, max(dice) as dice from m group by doc_id),
+per as (select m.doc_id, count(*) as n, array_to_string(list_sort(list(distinct license)), ',') as licenses, min(license) filter (where m.dice = top.dice) as best_license, max(m.dice) as best_dice from m join top on m.doc_id = top.doc_id group by m.doc_id)
+select d.doc_id, cast(coalesce(n, 0) as int) as n_matches, coalesce(licenses, '') as licenses, best_license, best_dice from d left join per on d.doc_id = per.doc_id"""
