@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from lakeglass.plans.queries import ORACLE, QUERIES
+from lakeglass.plans.registry import ORACLE, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
