@@ -7,7 +7,9 @@ global order, the first ``n - ceil(t * n) + l`` of each therefore share at least
 ``l``.  Each document chooses its own ``l``: a longer prefix costs more tokens but
 asks for more matches before a pair is verified.  The choice weighs the tokens
 sent against the candidates expected from how frequent its prefix tokens are.  A
-pair is a candidate if it shares at least the smaller of the two ``l``.
+pair is a candidate if it shares at least the smaller of the two ``l``, on tokens
+that leave enough of both documents: the k-th shared token, at positions i and j of
+the two orders, bounds the overlap by ``k - 1 + min(n - i, m - j)``.
 
 The global order puts frequent shingles last: those that repeat among the texts
 that one task holds at a time are counted over all documents, and the most frequent
@@ -184,7 +186,7 @@ def _describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, id_col: str, text_col: str, order: Order, percent: int) -> DataFrame:
-    """Rows ``token, id, n, l`` of every document's prefix."""
+    """Rows ``token, id, n, l, p`` of every document's prefix; ``p`` is the token's position."""
     shared = docs.sparkSession.sparkContext.broadcast(order)  # size: 16 bytes x FREQUENT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,11 +210,12 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, order: Order, percent
                         pa.array(np.repeat(np.array(owners, dtype=np.int64), many)),
                         pa.array(np.repeat(np.array(sizes, dtype=np.int32), many)),
                         pa.array(np.repeat(np.array(asked, dtype=np.int8), many)),
+                        pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in many])),
                     ],
-                    names=["token", "id", "n", "l"],
+                    names=["token", "id", "n", "l", "p"],
                 )
 
-    return docs.select(F.col(id_col).cast("bigint"), text_col).where(F.col(id_col).isNotNull()).mapInArrow(run, "token bigint, id bigint, n int, l tinyint")
+    return docs.select(F.col(id_col).cast("bigint"), text_col).where(F.col(id_col).isNotNull()).mapInArrow(run, "token bigint, id bigint, n int, l tinyint, p int")
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -225,8 +228,14 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint"), text_col).mapInArrow(run, "id bigint, s array<bigint>")
 
 
-def _similar_sizes(a: str, b: str, percent: int):
-    return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
+def _within_reach(x: str, y: str, percent: int):
+    """Whether a token shared by ``x`` and ``y`` (prefixes of columns n, l, p) can be among the first
+    ones of a similar pair, as many as the smaller ``l``; similar pairs share ``percent / (100 + percent)``
+    of their sizes' sum.
+    """
+    n, m = f"{x}n", f"{y}n"
+    left = f"(least({n} - {x}p, {m} - {y}p) + least({x}l, {y}l) - 1)"
+    return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and {left} * {100 + percent} >= {percent} * ({n} + {m})")
 
 
 def _may_link(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
@@ -290,7 +299,8 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, id_col: str =
     buckets = materialise(kept.selectExpr("*", f"{of_token} as k").where("k > 1").drop("k"))
     n_nodes = buckets.select("id").distinct().count()
 
-    links = copies.select(F.col("id").alias("a"), F.col("node").alias("b"))
+    # Links so far: those of a star around each component's smallest node.
+    links = spark.createDataFrame([], "a bigint, b bigint")
     left = buckets.withColumn("c", F.col("id"))
     tried, before = None, None
     for round_ in range(MAX_HUB_ROUNDS + 1):
@@ -304,32 +314,32 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, id_col: str =
             break
         before = pairs_left
         large = left.join(mixed.where(F.col("size") > SMALL_BUCKET).select("token"), "token", "left_semi")
-        hubs = large.groupBy("token").agg(F.min_by(F.struct("id", "n", "c"), F.xxhash64("id", F.lit(round_))).alias("hub"))
-        proposed = large.join(hubs, "token").where((F.col("c") != F.col("hub.c")) & _similar_sizes("n", "hub.n", percent))
+        hubs = large.groupBy("token").agg(F.min_by(F.struct("id", "n", "l", "p", "c"), F.xxhash64("id", F.lit(round_))).alias("hub"))
+        proposed = large.join(hubs, "token").where((F.col("c") != F.col("hub.c")) & _within_reach("", "hub.", percent))
         most = proposed.groupBy("id", F.col("hub.id").alias("hub")).agg(F.count("*").alias("m")).groupBy("id").agg(F.max_by("hub", F.struct("m", "hub")).alias("hub"))
         pairs = most.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = links.unionByName(_verify(pairs, docs, bits, percent, id_col, text_col))
-        component = materialise(connected_components(links))
+        component = materialise(connected_components(links.unionByName(_verify(pairs, docs, bits, percent, id_col, text_col))))
+        links = component.select(F.col("node").alias("a"), F.col("component").alias("b"))
         left = left.drop("c").join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
 
     # The rest: every pair across components that shares enough prefix tokens.
-    one = left.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("c").alias("ca"))
-    two = left.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("c").alias("cb"))
+    one = left.select("token", F.col("id").alias("a"), *[F.col(c).alias(f"x{c}") for c in "nlpc"])
+    two = left.select("token", F.col("id").alias("b"), *[F.col(c).alias(f"y{c}") for c in "nlpc"])
     shared = (
         one.join(two, "token")
-        .where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _similar_sizes("na", "nb", percent))
+        .where((F.col("a") < F.col("b")) & (F.col("xc") != F.col("yc")) & _within_reach("x", "y", percent))
         .groupBy("a", "b")
-        .agg(F.count("*").alias("met"), F.min(F.least("la", "lb")).alias("asked"))
+        .agg(F.count("*").alias("met"), F.min(F.least("xl", "yl")).alias("asked"))
         .where("met >= asked")
         .select("a", "b")
     )
     if tried is not None:
         shared = shared.join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(_verify(materialise(shared), docs, bits, percent, id_col, text_col))
+    links = links.unionByName(_verify(materialise(shared), docs, bits, percent, id_col, text_col)).unionByName(copies.selectExpr("id as a", "node as b"))
     component = connected_components(links)
     return rows.join(component, rows["id"] == component["node"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
