@@ -9,7 +9,8 @@ asks for more matches before a pair is verified.  The choice weighs the tokens
 sent against the candidates expected from how frequent its prefix tokens are.  A
 pair is a candidate if it shares at least the smaller of the two ``l``, on tokens
 that leave enough of both documents: the k-th shared token, at positions i and j of
-the two orders, bounds the overlap by ``k - 1 + min(n - i, m - j)``.
+the two orders, bounds the overlap by ``k - 1 + min(n - i, m - j)``, where k - 1 is
+at most the number of earlier tokens of either that any other document has.
 
 The global order puts frequent shingles last: those that repeat among the texts
 that one task holds at a time are counted over all documents, and the most frequent
@@ -229,12 +230,12 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _within_reach(x: str, y: str, percent: int):
-    """Whether a token shared by ``x`` and ``y`` (prefixes of columns n, l, p) can be among the first
+    """Whether a token shared by ``x`` and ``y`` (prefixes of columns n, l, p, q) can be among the first
     ones of a similar pair, as many as the smaller ``l``; similar pairs share ``percent / (100 + percent)``
-    of their sizes' sum.
+    of their sizes' sum.  ``q`` counts the earlier tokens that some other document has too.
     """
     n, m = f"{x}n", f"{y}n"
-    left = f"(least({n} - {x}p, {m} - {y}p) + least({x}l, {y}l) - 1)"
+    left = f"(least({n} - {x}p, {m} - {y}p) + least({x}l - 1, {y}l - 1, {x}q, {y}q))"
     return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and {left} * {100 + percent} >= {percent} * ({n} + {m})")
 
 
@@ -296,7 +297,8 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, id_col: str =
     of_token = "count(*) over (partition by token)"
     met = _prefixes(docs, id_col, text_col, order, percent).selectExpr("*", f"{of_token} as k").where("k > 1").drop("k")
     kept = met.join(copies.select("id"), "id", "left_anti").distinct()
-    buckets = materialise(kept.selectExpr("*", f"{of_token} as k").where("k > 1").drop("k"))
+    buckets = kept.selectExpr("*", f"{of_token} as k").where("k > 1").drop("k")
+    buckets = materialise(buckets.selectExpr("*", "cast(row_number() over (partition by id, n order by p) - 1 as int) as q"))
     n_nodes = buckets.select("id").distinct().count()
 
     # Links so far: those of a star around each component's smallest node.
@@ -314,7 +316,8 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, id_col: str =
             break
         before = pairs_left
         large = left.join(mixed.where(F.col("size") > SMALL_BUCKET).select("token"), "token", "left_semi")
-        hubs = large.groupBy("token").agg(F.min_by(F.struct("id", "n", "l", "p", "c"), F.xxhash64("id", F.lit(round_))).alias("hub"))
+        # The member with fewest tokens of its own is most like the others.
+        hubs = large.groupBy("token").agg(F.min_by(F.struct("id", "n", "l", "p", "q", "c"), F.struct((F.col("p") - F.col("q")) / F.col("n"), F.xxhash64("id", F.lit(round_)))).alias("hub"))
         proposed = large.join(hubs, "token").where((F.col("c") != F.col("hub.c")) & _within_reach("", "hub.", percent))
         most = proposed.groupBy("id", F.col("hub.id").alias("hub")).agg(F.count("*").alias("m")).groupBy("id").agg(F.max_by("hub", F.struct("m", "hub")).alias("hub"))
         pairs = most.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
@@ -327,8 +330,8 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, id_col: str =
         left = left.drop("c").join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
 
     # The rest: every pair across components that shares enough prefix tokens.
-    one = left.select("token", F.col("id").alias("a"), *[F.col(c).alias(f"x{c}") for c in "nlpc"])
-    two = left.select("token", F.col("id").alias("b"), *[F.col(c).alias(f"y{c}") for c in "nlpc"])
+    one = left.select("token", F.col("id").alias("a"), *[F.col(c).alias(f"x{c}") for c in "nlpqc"])
+    two = left.select("token", F.col("id").alias("b"), *[F.col(c).alias(f"y{c}") for c in "nlpqc"])
     shared = (
         one.join(two, "token")
         .where((F.col("a") < F.col("b")) & (F.col("xc") != F.col("yc")) & _within_reach("x", "y", percent))
