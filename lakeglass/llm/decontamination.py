@@ -1,13 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Test items are cut into word n-grams.  How many documents hold each of them is
-counted over the whole corpus, and an item's seeds are its rarer n-grams: those
-that few documents hold, and in any case its rarer half, so that an item that
-leaked into very many documents keeps seeds.  A document that holds a seed is
-aligned with the item around each group of hits on neighbouring diagonals.  The
-alignment is local and scores words: a match counts 2, a mismatch or a gap -1.
-The score is divided by that of a perfect copy of the item, so insertions,
-deletions and substitutions lower it gradually.
+Test items are cut into word n-grams, and every n-gram of an item is a seed,
+however many documents hold it, so that a leak cannot hide by being frequent.  A
+document that holds a seed is aligned with the item around each group of hits on
+neighbouring diagonals.  The alignment is local and scores words: a match counts
+2, a mismatch or a gap -1.  The score is divided by that of a perfect copy of the
+item, so insertions, deletions and substitutions lower it gradually.
 
 Items travel to the documents in blocks of bounded size; texts never move.
 """
@@ -28,16 +26,15 @@ from lakeglass.llm.textbatch import LETTER, Words, blocks, run_hashes
 
 SEED = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: An n-gram held by at most this share of the documents is a seed.
-RARE_SHARE = 0.001
 #: Normalised alignment score from which a document counts as contaminated.
 THRESHOLD = 0.4
 #: Items sent to the documents at a time; with ITEM_WORDS this bounds the broadcast.
 ITEM_BLOCK = 20_000
 #: Longer items are aligned in pieces of this many words.
 ITEM_WORDS = 256
-#: Windows aligned together.
+#: Windows aligned together, and their words.
 ALIGN_BATCH = 512
+ALIGN_WORDS = 500_000
 
 
 @dataclass
@@ -72,18 +69,6 @@ class Items:
         order = np.lexsort((position, item, gram))
         return cls(own_ids, own_words, gram[order], item[order], position[order])
 
-    def keep_seeds(self, held: dict[int, int], n_docs: int) -> Items:
-        """Only the rarer n-grams of every item."""
-        count = np.array([held.get(int(g), 0) for g in self.gram.astype(np.int64)], dtype=np.int64)
-        keep = count <= max(1.0, RARE_SHARE * n_docs)
-        order = np.lexsort((self.position, count, self.item))
-        rank = np.empty(len(order), dtype=np.int64)
-        size = np.bincount(self.item, minlength=len(self.ids))
-        first = np.cumsum(size) - size
-        rank[order] = np.arange(len(order)) - first[self.item[order]]
-        keep |= rank < (size[self.item] + 1) // 2
-        return Items(self.ids, self.words, self.gram[keep], self.item[keep], self.position[keep])
-
     def shortest(self) -> int:
         return min((len(w) for w in self.words), default=SEED)
 
@@ -167,7 +152,11 @@ def scan_block(items: Items, texts: list[str | None]) -> list[tuple[int, int, fl
     high = np.minimum(high + size[item] + slack[item], words.first[doc + 1])
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     by_width = np.argsort(high - low, kind="stable")
-    for part in np.array_split(by_width, -(-len(by_width) // ALIGN_BATCH)):
+    at = 0
+    while at < len(by_width):
+        part = by_width[at : at + ALIGN_BATCH]
+        part = part[: max(1, ALIGN_WORDS // int((high - low)[part[-1]]))]
+        at += len(part)
         scores = align([h[low[i] : high[i]] for i in part], [items.words[item[i]] for i in part])
         for i, s in zip(part, scores, strict=True):
             key, value = (int(doc[i]), int(item[i])), (float(s) / (MATCH * size[item[i]]), -int(low[i]), int(high[i]))
@@ -188,32 +177,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
     source = docs.select(id_col, text_col)
     schema = f"`{id_col}` {id_type}, item_id bigint, score double, first_word bigint, last_word bigint"
     items = benchmark.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
-    n_docs = docs.count()
     out = spark.createDataFrame([], schema)
     n_blocks = max(1, -(-items.count() // ITEM_BLOCK))
     for number in range(n_blocks):
         # Blocks by hash hold about ITEM_BLOCK items of bounded pieces each.
         own = items.where(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == number).orderBy("i", "t").collect()
-        every = spark.sparkContext.broadcast(Items.of([r["i"] for r in own], [r["t"] for r in own]))
-
-        def count(batches: Iterator[pa.RecordBatch], every=every) -> Iterator[pa.RecordBatch]:
-            known = np.unique(every.value.gram)
-            total = np.zeros(len(known), dtype=np.int64)
-            for batch in batches:
-                for _, texts in blocks(batch.column(0)):
-                    words = Words(texts, LETTER)
-                    h = words.hashes()
-                    for n in _sizes(every.value):
-                        runs, at = _gram_runs(words, h, n)
-                        place = np.minimum(np.searchsorted(known, runs), len(known) - 1)
-                        same = np.flatnonzero(known[place] == runs)
-                        pairs = np.unique(words.doc[at[same]] * len(known) + place[same])
-                        total += np.bincount(pairs % len(known), minlength=len(known))
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(known[some].view(np.int64)), pa.array(total[some])], names=["gram", "n"])
-
-        held = source.select(text_col).mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # at most the n-grams of one block
-        seeds = spark.sparkContext.broadcast(every.value.keep_seeds({r["gram"]: r["n"] for r in held}, n_docs))
+        seeds = spark.sparkContext.broadcast(Items.of([r["i"] for r in own], [r["t"] for r in own]))
 
         def scan(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
             for batch in batches:

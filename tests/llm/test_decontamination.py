@@ -83,3 +83,16 @@ def test_empty_tables(spark, odd_docs, no_docs, leaked):
     assert dec.contamination(no_docs, bench).count() == 0
     rows = dec.contamination(odd_docs, bench.where("false")).collect()
     assert len(rows) == 11 and not any(r["contaminated"] for r in rows)
+
+
+def test_frequent_parts_of_an_item_are_found(spark):
+    rnd = random.Random(8)
+    item = [f"{w}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i, w in enumerate(words(60, rnd))]
+    other = [f"{w}{chr(97 + i % 26)}x{chr(97 + i // 26)}" for i, w in enumerate(words(60, rnd))]
+    # Many documents hold the first half of one item; of the other, whole copies and some back halves.
+    docs = [(i, [*words(20, rnd), *item[:30], *words(20, rnd)]) for i in range(30)]
+    docs += [(100 + i, [*words(20, rnd), *other, *words(20, rnd)]) for i in range(30)] + [(200 + i, [*words(20, rnd), *other[30:], *words(20, rnd)]) for i in range(5)]
+    docs += [(1000 + i, words(60, rnd)) for i in range(400)]
+    a = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id bigint, text string").repartition(4)
+    rows = dec.contamination(a, spark.createDataFrame([(1, " ".join(item)), (2, " ".join(other))], "item_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["best_item"] for r in rows if r["contaminated"]} == {i: 1 if i < 100 else 2 for i, _ in docs if i < 1000}
