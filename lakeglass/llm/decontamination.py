@@ -30,8 +30,13 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.4
 #: Items sent to the documents at a time; with ITEM_WORDS this bounds the broadcast.
 ITEM_BLOCK = 20_000
-#: Longer items are aligned in pieces of this many words.
+#: Longer items are aligned in pieces of nearly equal length, of at most this many words.
 ITEM_WORDS = 256
+#: Shorter items match only as a whole, word for word.
+SHORT_WORDS = 8
+#: Words are runs of letters and digits.
+WORD = LETTER.copy()
+WORD[48:58] = True
 #: Windows aligned together, and their words.
 ALIGN_BATCH = 512
 ALIGN_WORDS = 500_000
@@ -49,13 +54,14 @@ class Items:
 
     @classmethod
     def of(cls, ids: list[int], texts: list[str | None]) -> Items:
-        words = Words(texts, LETTER)
+        words = Words(texts, WORD)
         h = words.hashes()
         own_ids, own_words = [], []
         for i, a, b in zip(ids, words.first[:-1], words.first[1:], strict=True):
-            for at in range(a, b, ITEM_WORDS):
+            n = -(-(b - a) // ITEM_WORDS)
+            for k in range(n):
                 own_ids.append(i)
-                own_words.append(h[at : min(at + ITEM_WORDS, b)])
+                own_words.append(h[a + (b - a) * k // n : a + (b - a) * (k + 1) // n])
         grams, item, position = [], [], []
         for k, w in enumerate(own_words):
             g = run_hashes(w, min(SEED, len(w)))
@@ -128,7 +134,7 @@ def align(windows: list[np.ndarray], targets: list[np.ndarray]) -> np.ndarray:
 
 def scan_block(items: Items, texts: list[str | None]) -> list[tuple[int, int, float, int, int]]:
     """(text, item piece, score, first word, last word) of the best window of every text and item that share a seed."""
-    words = Words(texts, LETTER)
+    words = Words(texts, WORD)
     if not len(words) or not items.words:
         return []
     h = words.hashes()
@@ -159,6 +165,8 @@ def scan_block(items: Items, texts: list[str | None]) -> list[tuple[int, int, fl
         at += len(part)
         scores = align([h[low[i] : high[i]] for i in part], [items.words[item[i]] for i in part])
         for i, s in zip(part, scores, strict=True):
+            if size[item[i]] < SHORT_WORDS and s < MATCH * size[item[i]]:
+                continue
             key, value = (int(doc[i]), int(item[i])), (float(s) / (MATCH * size[item[i]]), -int(low[i]), int(high[i]))
             if value > best.get(key, (-1.0, 0, 0)):
                 best[key] = value
@@ -169,8 +177,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
     """Aligned pairs: the document id, ``item_id``, ``score``, and the words ``first_word`` to ``last_word`` looked at.
 
     One row for each document id and item that share a seed.  An item longer
-    than ``ITEM_WORDS`` words counts with its best piece.  Documents and items
-    without words, null texts and null ids of items match nothing.
+    than ``ITEM_WORDS`` words counts with its best piece, one of fewer than
+    ``SHORT_WORDS`` words only where a document holds all of it.  Documents and
+    items without words, null texts and null ids of items match nothing.
     """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()

@@ -96,3 +96,14 @@ def test_frequent_parts_of_an_item_are_found(spark):
     a = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id bigint, text string").repartition(4)
     rows = dec.contamination(a, spark.createDataFrame([(1, " ".join(item)), (2, " ".join(other))], "item_id bigint, text string")).collect()
     assert {r["doc_id"]: r["best_item"] for r in rows if r["contaminated"]} == {i: 1 if i < 100 else 2 for i, _ in docs if i < 1000}
+
+
+def test_short_items_and_pieces_need_a_whole_copy(spark):
+    rnd = random.Random(9)
+    long = [f"q{w}" for w in words(256, rnd)] + ["house"]
+    bench = [(1, " ".join(long)), (2, "What is 3 + 5?"), (3, "name the longest river")]
+    docs = [(1, "the house by the sea"), (2, "what is a house"), (3, "so what is 3 + 5 then"), (4, "name the longest road"), (5, "name the longest river"), (6, " ".join(long[100:])), (7, "what is 3 + 6")]
+    a = spark.createDataFrame(docs, "doc_id bigint, text string")
+    rows = dec.contamination(a, spark.createDataFrame(bench, "item_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["items"] for r in rows if r["contaminated"]} == {3: [2], 5: [3], 6: [1]}
+    assert {len(w) for w in dec.Items.of([1], [" ".join(["a"] * 600)]).words} == {200}
