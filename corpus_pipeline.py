@@ -20,20 +20,23 @@ from lakeglass.llm.session import ensure_checkpoint_dir, table
 TOXIC_SCORE = 0.3
 
 
-def _keep(docs: DataFrame, decisions: DataFrame, kept) -> DataFrame:
-    """The rows of ``docs`` whose id is among the kept decisions.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a 64-bit key of id and text: ids may be null or repeat with other texts."""
+    return docs.withColumn("_row", F.xxhash64("doc_id", "text"))
 
-    Where rows share an id, all of their decisions must keep it.
-    """
-    good = decisions.groupBy("doc_id").agg(F.min(kept.cast("int")).alias("_kept")).where("_kept = 1").select(F.col("doc_id").alias("_id"))
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["_id"]), "left_semi")
+
+def _keep(docs: DataFrame, decisions: DataFrame, kept) -> DataFrame:
+    """The rows of ``docs`` (with ``_row``) that the decisions on their keys keep, without the key."""
+    good = decisions.groupBy("_row").agg(F.min(kept.cast("int")).alias("_kept")).where("_kept = 1").select("_row")
+    return docs.join(good, "_row", "left_semi").drop("_row")
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the toxicity network scores at least ``TOXIC_SCORE``."""
     net = toxicity.learn(docs.where(~held_out()), table(spark, sf_dir, "labels").where(~held_out()))
-    scored = toxicity.score_documents(docs, net, threshold=TOXIC_SCORE)
-    return _keep(docs, scored, F.col("predicted") == 0)
+    rows = _keyed(docs)
+    scored = toxicity.score_documents(rows, net, id_col="_row", threshold=TOXIC_SCORE)
+    return _keep(rows, scored, F.col("predicted") == 0)
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,21 +45,29 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A low score alone rejects nothing, since short clean texts have low scores.
     """
     model = language_id.learn(docs.where(~held_out()))
-    found = language_id.identify(docs, model)
-    return _keep(docs, found, F.col("lang_pred") != language_id.UNKNOWN)
+    rows = _keyed(docs)
+    found = language_id.identify(rows, model, id_col="_row")
+    return _keep(rows, found, F.col("lang_pred") != language_id.UNKNOWN)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near copies."""
-    groups = jaccard_join.jaccard_components(docs)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(first.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """Keep the row with the smallest id of each group of near copies; a null id comes last.
+
+    Rows without shingles are no copies of each other and are all kept.
+    """
+    has_shingles = F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+    rows = _keyed(docs.where(has_shingles))
+    groups = jaccard_join.jaccard_components(rows, id_col="_row").select("_row", "component_id").distinct()
+    ids = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("at")).distinct()
+    first = groups.join(ids, "_row").groupBy("component_id").agg(F.min("at").alias("at")).select("at._row")
+    return rows.dropDuplicates(["_row"]).join(first, "_row", "left_semi").drop("_row").unionByName(docs.where(~has_shingles))
 
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a copy or an edited copy of a benchmark item."""
-    judged = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _keep(docs, judged, ~F.col("contaminated"))
+    rows = _keyed(docs)
+    judged = decontamination.contamination(rows, table(spark, sf_dir, "benchmark"), id_col="_row")
+    return _keep(rows, judged, ~F.col("contaminated"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,3 +38,20 @@ def test_stages_survive_odd_and_no_rows(spark, small, odd_docs, no_docs):
         assert stage(spark, no_docs, small).count() == 0
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, odd_docs, small).count()
+
+
+def test_rows_with_null_or_repeated_ids_are_decided_one_by_one(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    leak = max((r["text"] for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()), key=len)
+    one, two, three, four = ("the %s river runs by the old house near a green %s tree and on to the sea" % (w, w) for w in ("blue", "wide", "slow", "cold"))
+    rows = [(None, one), (None, two), (7, three), (7, four), (3, two), (None, one), (None, None), (None, None), (5, ""), (5, ""), (None, leak), (7, leak)]
+    odd = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").select(*docs.columns)
+
+    def kept(stage):
+        return sorted(((r["doc_id"], r["text"]) for r in stage(spark, odd, small).collect()), key=repr)
+
+    near = [(None, one), (3, two), (7, three), (7, four), (None, None), (None, None), (5, ""), (5, ""), (7, leak)]
+    assert kept(corpus_pipeline.drop_near_copies) == sorted(near, key=repr)
+    assert kept(corpus_pipeline.remove_leaks) == sorted([r for r in rows if r[1] != leak], key=repr)
+    found = kept(corpus_pipeline.keep_identified)
+    assert found == sorted([r for r in rows if r[1]], key=repr)
