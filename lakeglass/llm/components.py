@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     the components, and they end in stars around each component's smallest node
     after a logarithmic number of rounds.  Minima are pre-aggregated, so a node
     with very many neighbours is no hot key there; the join back may be dealt anew
-    by Spark where it is skewed.
+    by Spark where it is skewed.  An error is raised if ``MAX_ROUNDS`` are not enough.
     """
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
@@ -33,5 +33,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if before == (state["n"], state["x"]):
             break
         before = (state["n"], state["x"])
+    else:
+        raise RuntimeError(f"components have not converged in {MAX_ROUNDS} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

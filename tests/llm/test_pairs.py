@@ -105,6 +105,12 @@ def test_connected_components(spark):
     assert got == {i: find(i) for e in edges if e[0] != e[1] for i in e}
 
 
+def test_components_that_have_not_converged_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(components, "MAX_ROUNDS", 2)
+    with pytest.raises(RuntimeError, match="converged"):
+        components.connected_components(spark.createDataFrame([(i, i + 1) for i in range(60)], "a bigint, b bigint"))
+
+
 def brute_force(rows, queries, k):
     ids = np.array([i for i, _ in rows])
     m = np.array([v for _, v in rows], dtype=np.float64)
