@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +52,8 @@ COUNTED_TOGETHER = 4_000_000
 LOCAL_REPEATS = 3
 #: The most frequent shingles that come last in the order; bounds the broadcast to 2 MB.
 FREQUENT = 1 << 17
+#: A token that at least so many documents hold is counted by parts, so no task meets all of its rows.
+HOT, HOT_PARTS = 256, 64
 #: Cost of verifying a candidate, in tokens sent, for a pair of one-token documents and per token.
 VERIFY_BASE, VERIFY_TOKEN = 4.0, 0.05
 #: Pairs per document that are enumerated without another round of hubs.
@@ -106,8 +109,8 @@ class Order:
         at = np.minimum(np.searchsorted(self.tokens, s), len(self.tokens) - 1)
         return np.where(self.tokens[at] == s, self.counts[at], 0)
 
-    def prefix(self, s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-        """(prefix of a sorted set, matches asked for) with the least estimated cost."""
+    def prefix(self, s: np.ndarray, percent: int) -> tuple[np.ndarray, int, np.ndarray]:
+        """(prefix of a sorted set, matches asked for, how frequent its tokens are) with the least estimated cost."""
         n = len(s)
         need = -(-percent * n // 100)
         frequency = self.frequency(s)
@@ -121,7 +124,7 @@ class Order:
         candidates = met[lengths - 1] / np.arange(1, most + 1)
         cost = lengths + met[lengths - 1] + (VERIFY_BASE + VERIFY_TOKEN * n) * candidates
         l = int(cost.argmin()) + 1
-        return s[: base + l], l
+        return s[: base + l], l, frequency[: base + l]
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -132,15 +135,14 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def may_overlap(a: bytes, b: bytes, na: int, nb: int, percent: int) -> bool:
-    """Whether two bitmaps allow the similarity; the larger is folded onto the smaller first."""
-    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] | y[len(y) // 2 :]
-    only_x, only_y = int(np.bitwise_count(x & ~y).sum()), int(np.bitwise_count(y & ~x).sum())
-    common = min(na - only_x, nb - only_y)
+def may_overlap(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Whether pairs of bitmaps (rows of words) allow the similarity; the larger are folded onto the smaller first."""
+    while a.shape[1] > b.shape[1]:
+        a = a[:, : a.shape[1] // 2] | a[:, a.shape[1] // 2 :]
+    while b.shape[1] > a.shape[1]:
+        b = b[:, : b.shape[1] // 2] | b[:, b.shape[1] // 2 :]
+    only_a, only_b = np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64)
+    common = np.minimum(na - only_a, nb - only_b)
     return 100 * common >= percent * (na + nb - common)
 
 
@@ -187,36 +189,43 @@ def _describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, id_col: str, text_col: str, order: Order, percent: int) -> DataFrame:
-    """Rows ``token, id, n, l, p`` of every document's prefix; ``p`` is the token's position."""
+    """Rows ``token, part, id, n, l, p`` of every document's prefix; ``p`` is the token's position.
+
+    ``part`` is 0, or for hot tokens one of ``HOT_PARTS`` by the document.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(order)  # size: 16 bytes x FREQUENT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for begin, texts in blocks(batch.column(1)):
-                parts, sizes, asked, owners = [], [], [], []
+                parts, sizes, asked, owners, often = [], [], [], [], []
                 for i, s in enumerate(shingle_sets(texts)):
                     if len(s):
-                        p, l = shared.value.prefix(s, percent)
+                        p, l, frequency = shared.value.prefix(s, percent)
                         parts.append(p)
+                        often.append(frequency)
                         sizes.append(len(s))
                         asked.append(l)
                         owners.append(ids[begin + i])
                 if not parts:
                     continue
                 many = [len(p) for p in parts]
+                owner = np.repeat(np.array(owners, dtype=np.int64), many)
+                part = np.where(np.concatenate(often) >= HOT, 1 + mix(owner.view(np.uint64)) % np.uint64(HOT_PARTS), 0)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate(parts).view(np.int64)),
-                        pa.array(np.repeat(np.array(owners, dtype=np.int64), many)),
+                        pa.array(part.astype(np.int8)),
+                        pa.array(owner),
                         pa.array(np.repeat(np.array(sizes, dtype=np.int32), many)),
                         pa.array(np.repeat(np.array(asked, dtype=np.int8), many)),
                         pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in many])),
                     ],
-                    names=["token", "id", "n", "l", "p"],
+                    names=["token", "part", "id", "n", "l", "p"],
                 )
 
-    return docs.select(F.col(id_col).cast("bigint"), text_col).where(F.col(id_col).isNotNull()).mapInArrow(run, "token bigint, id bigint, n int, l tinyint, p int")
+    return docs.select(F.col(id_col).cast("bigint"), text_col).where(F.col(id_col).isNotNull()).mapInArrow(run, "token bigint, part tinyint, id bigint, n int, l tinyint, p int")
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -244,9 +253,16 @@ def _may_link(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, na, nb, xa, xb = (c.to_pylist() for c in batch.columns)
-            ok = [i for i in range(len(a)) if may_overlap(xa[i], xb[i], na[i], nb[i], percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in ok], pa.int64()), pa.array([b[i] for i in ok], pa.int64())], names=["a", "b"])
+            na, nb = (batch.column(i).to_numpy() for i in (2, 3))
+            wide = [pc.binary_length(batch.column(i)).to_numpy().astype(np.int64) for i in (4, 5)]
+            ok = np.zeros(len(na), dtype=bool)
+            # Pairs with bitmaps of the same two sizes are compared together.
+            order = np.lexsort(wide)
+            edges = np.flatnonzero((np.diff(wide[0][order]) != 0) | (np.diff(wide[1][order]) != 0)) + 1
+            for rows in np.split(order, edges) if len(order) else []:
+                x, y = (np.frombuffer(b"".join(batch.column(i).take(pa.array(rows)).to_pylist()), dtype=np.uint64).reshape(len(rows), -1) for i in (4, 5))
+                ok[rows] = may_overlap(x, y, na[rows], nb[rows], percent)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in (0, 1)], names=["a", "b"])
 
     both = pairs.join(bits.selectExpr("id as a", "n as na", "bits as xa"), "a").join(bits.selectExpr("id as b", "n as nb", "bits as xb"), "b")
     return both.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a bigint, b bigint").distinct()
@@ -271,7 +287,9 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, id_col: str =
     union``; a component's id is the smallest document id reachable by links.
     Documents with null or empty texts, or of white space only, have 0 shingles and
     are their own component.  Rows with one id are one node of the graph, whatever
-    their texts; a null id is its own (null) component.  An empty table gives an
+    their texts; a null id is its own (null) component.  A very long text is one set
+    like any other: its prefix and bitmap grow with it, and the memory needed is in
+    proportion to the longest text of a batch.  An empty table gives an
     empty result, and only the two named columns are read.
     """
     spark = docs.sparkSession
@@ -294,10 +312,11 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, id_col: str =
     copies = materialise(rows.where("n > 0 and id is not null").join(nodes, ["n", "f1", "f2"]).where("id <> node").select("id", "node").distinct())
 
     # Tokens that at least two nodes have in their prefix. Most tokens have one document and end here.
-    of_token = "count(*) over (partition by token)"
-    met = _prefixes(docs, id_col, text_col, order, percent).selectExpr("*", f"{of_token} as k").where("k > 1").drop("k")
+    # Hot tokens, which have many, are counted by parts and stay in any case.
+    of_token = "count(*) over (partition by token, part)"
+    met = _prefixes(docs, id_col, text_col, order, percent).selectExpr("*", f"{of_token} as k").where("k > 1 or part > 0").drop("k")
     kept = met.join(copies.select("id"), "id", "left_anti").distinct()
-    buckets = kept.selectExpr("*", f"{of_token} as k").where("k > 1").drop("k")
+    buckets = kept.selectExpr("*", f"{of_token} as k").where("k > 1 or part > 0").drop("k", "part")
     buckets = materialise(buckets.selectExpr("*", "cast(row_number() over (partition by id, n order by p) - 1 as int) as q"))
     n_nodes = buckets.select("id").distinct().count()
 

@@ -17,20 +17,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeglass.llm.session import bounded_sample, fit_remotely
 from lakeglass.llm.textbatch import LETTER, Words, blocks
 from lakeglass.llm.wordgrams import distinct, gram_buckets
 
 UNKNOWN = "und"
 GRAMS = (1, 2, 3, 4)
-N_BUCKETS = 1 << 16
+#: Hash values of n-grams: fewer where there are so many languages that a model would exceed MODEL_BYTES.
+N_BUCKETS, LEAST_BUCKETS = 1 << 16, 1 << 10
+MODEL_BYTES = 64_000_000
+#: More languages than this are an error.
+MAX_LANGUAGES = 8192
 #: Nats that a change of language costs.
 SWITCH = 12.0
 #: Score of a language that is not written in a word's script.
 EXCLUDED = -40.0
-#: Documents that the model is fitted on, spread evenly over the languages.
-SAMPLE_DOCS = 2400
-#: Longer documents are left out of the sample, which bounds its bytes.
-SAMPLE_CHARS = 20_000
+#: Documents that the model is fitted on, spread evenly over the languages (at least LEAST_DOCS of each), and their bytes.
+SAMPLE_DOCS, LEAST_DOCS = 2400, 4
+SAMPLE_BYTES = 16_000_000
 #: Characters labelled together; longer blocks share the steps of the Viterbi pass.
 PREDICT_CHARS = 6_000_000
 
@@ -68,7 +72,7 @@ def word_scripts(words: Words, which: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Languages, log-probabilities by bucket (one zero row at the end), and languages by script."""
+    """Languages, log-probabilities by bucket (one zero row at the end), and languages by script.    """
 
     languages: list[str]
     table: np.ndarray
@@ -76,7 +80,7 @@ class Model:
 
     def word_scores(self, words: Words, which: np.ndarray) -> np.ndarray:
         """Log-likelihoods, relative to the best language, of the words ``which``."""
-        begin, grams = gram_buckets(words, which, GRAMS, N_BUCKETS)
+        begin, grams = gram_buckets(words, which, GRAMS, len(self.table) - 1)
         total = self.table[grams[0]]
         for g in grams[1:]:
             total = total + self.table[g]
@@ -147,8 +151,9 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     laid = np.empty_like(scores)
     laid[row] = scores
     n_labels = scores.shape[1]
-    own = np.arange(n_labels, dtype=np.int8)
-    came = np.empty(scores.shape, dtype=np.int8)
+    kind = np.int8 if n_labels <= 127 else np.int16
+    own = np.arange(n_labels, dtype=kind)
+    came = np.empty(scores.shape, dtype=kind)
     last = np.empty(alive[0], dtype=np.int64)
     value = laid[: alive[0]].copy()
     for t in range(1, steps):
@@ -176,69 +181,105 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
 def fit(texts: list[str], languages: list[str]) -> Model:
     """Fit the n-gram table on labelled texts; no texts give a model without languages."""
     names = sorted(set(languages))
-    table = np.zeros((N_BUCKETS + 1, len(names)), dtype=np.float32)
+    if len(names) > MAX_LANGUAGES:
+        raise ValueError(f"{len(names)} languages; {MAX_LANGUAGES} is the most")
+    n_buckets = N_BUCKETS
+    while n_buckets > LEAST_BUCKETS and 4 * n_buckets * len(names) > MODEL_BYTES:
+        n_buckets //= 2
+    table = np.zeros((n_buckets + 1, len(names)), dtype=np.float32)
     allowed = np.zeros((len(_NAMES), len(names)), dtype=bool)
+    by_name: dict[str, list[str]] = {}
+    for t, x in zip(texts, languages, strict=True):
+        by_name.setdefault(x, []).append(t)
     for k, name in enumerate(names):
-        counts = np.full(N_BUCKETS + 1, 0.0)
+        counts = np.full(n_buckets + 1, 0.0)
         scripts = np.zeros(len(_NAMES))
-        own = [t for t, x in zip(texts, languages, strict=True) if x == name]
-        for _, block in blocks(pa.array(own, pa.string())):
+        for _, block in blocks(pa.array(by_name[name], pa.string())):
             words = Words(block, LETTER)
             if not len(words):
                 continue
             which, number = distinct(words, words.hashes())
             # Damped counts: a word that one document repeats should not rule.
             often = np.sqrt(np.bincount(number))
-            begin, grams = gram_buckets(words, which, GRAMS, N_BUCKETS)
+            begin, grams = gram_buckets(words, which, GRAMS, n_buckets)
             weight = np.repeat(often, np.diff(np.append(begin, len(grams[0]))))
             for g in grams:
-                counts += np.bincount(g, weights=weight, minlength=N_BUCKETS + 1)
+                counts += np.bincount(g, weights=weight, minlength=n_buckets + 1)
             scripts += np.bincount(word_scripts(words, which), weights=often, minlength=len(_NAMES))
-        counts = counts[:N_BUCKETS]
-        table[:N_BUCKETS, k] = np.log((counts + 0.05) / (counts.sum() + 0.05 * N_BUCKETS))
+        counts = counts[:n_buckets]
+        table[:n_buckets, k] = np.log((counts + 0.05) / (counts.sum() + 0.05 * n_buckets))
         allowed[:, k] = scripts >= 0.01 * max(scripts.sum(), 1)
     return Model(names, table, allowed)
 
 
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fit on a bounded sample: about ``sample_docs`` documents of at most ``SAMPLE_CHARS``.
+    """Fit on a bounded sample, in one task of an executor.
 
-    The sample takes the same number from every language, chosen by a hash of the
-    id, so it is the same however the rows are dealt.
+    The sample takes the same number of documents from every language (``sample_docs``
+    in all, at least ``LEAST_DOCS`` of each), chosen by a hash of the id, so it is the
+    same however the rows are dealt; of each language they hold its part of
+    ``SAMPLE_BYTES`` and one document at most, and no length is left out.  Equal rows
+    count once.  Null languages and null or empty texts teach nothing; no language is
+    ever left out.
     """
-    usable = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.shiftrightunsigned(F.xxhash64(id_col, F.lit("language sample")), 11).alias("h")).where(
-        F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)
+    usable = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(
+        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("k")
     )
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample_docs).collect()}
-    if not sizes:
-        return fit([], [])
-    each = max(1, sample_docs // len(sizes))
-    chosen = F.lit(False)
-    for lang, n in sizes.items():
-        chosen = chosen | ((F.col("lang") == lang) & (F.col("h") < int(min(1.0, each / n) * 2**53)))
-    rows = usable.where(chosen).select("text", "lang", "h").orderBy("h", "lang", "text").limit(2 * sample_docs).collect()
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
-
-
-def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    n_langs = sizes.count()
+    if n_langs > MAX_LANGUAGES:
+        raise ValueError(f"{n_langs} languages; {MAX_LANGUAGES} is the most")
+    each = max(LEAST_DOCS, sample_docs // max(n_langs, 1))
+    # A language's first rows by hash: three times the number wanted, on average, so that none is missed.
+    h = F.shiftrightunsigned(F.xxhash64("_id", "k", F.lit("language sample")), 11)
+    thin = usable.withColumn("h", h).join(F.broadcast(sizes), "lang").where(F.col("h") <= F.least(F.lit(1.0), F.lit(3.0 * each + 20) / F.col("n")) * F.lit(float(2**53)))
+    sample = bounded_sample(thin, "lang", (each, SAMPLE_BYTES // max(n_langs, 1)), usable.drop("lang"), ["_id", "k"])
+
+    def fit_table(table: pa.Table) -> Model:
+        at = np.lexsort((table.column("k").to_numpy(), table.column("h").to_numpy()))
+        table = table.take(pa.array(at))
+        return fit(table.column("text").to_pylist(), table.column("lang").to_pylist())
+
+    return fit_remotely(sample.select("text", "lang", "h", "k"), fit_table)
+
+
+def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep_known: bool = False) -> DataFrame:
     """Every row of ``docs`` with its ``id_col``, ``lang_pred`` and ``score`` (0 to 1).
 
+    With ``keep_known`` the rows that have a language are returned instead, as they
+    are, with all their columns.
+
     A null or empty text, or one without letters, is ``und`` with score 0, and so
     is every text where nothing could be learned.  The score is the share of the
     letters in spans of the language, times the odds of it against the next best
-    over the whole text.  Rows are independent of each other.
+    over the whole text.  Rows are independent of each other, so ties, repeated rows
+    and null ids have no effect, and an empty table gives an empty result.  A very
+    long text is labelled as a whole; the memory needed is in proportion to the
+    longest text of a batch times the languages.  Other columns are not looked at.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # size: N_BUCKETS x languages x 4 bytes
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # size: MODEL_BYTES at most
+
+    def predict(column: pa.Array) -> tuple[list[str], list[float]]:
+        langs: list[str] = []
+        scores: list[float] = []
+        most = max(100_000, PREDICT_CHARS * 4 // max(4, len(shared.value.languages)))
+        for _, texts in blocks(column, most):
+            a, b = shared.value.predict(texts)
+            langs += a
+            scores += b
+        return langs, scores
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs: list[str] = []
-            scores: list[float] = []
-            for _, texts in blocks(batch.column(1), PREDICT_CHARS):
-                a, b = shared.value.predict(texts)
-                langs += a
-                scores += b
+            langs, scores = predict(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "lang_pred", "score"])
 
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([x != UNKNOWN for x in predict(batch.column(place))[0]], pa.bool_()))
+
+    if keep_known:
+        place = docs.columns.index(text_col)
+        return docs.mapInArrow(keep, docs.schema)
+    id_type = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, lang_pred string, score double")

@@ -6,9 +6,16 @@ from collections.abc import Callable
 from typing import Any
 
 
+#: Longer keys are computed every time, which bounds the bytes held.
+LONGEST = 64
+
+
 class Memo(dict):
     """Computes missing values; holds at most ``2 * limit`` of them in two generations.
 
+    Keys of more than ``LONGEST`` characters are not kept, so an entry takes a few
+    hundred bytes at most.
+
     When the young generation is full it becomes the old one; values asked for
     again move back.  Frequent words therefore stay while one-off words leave.
     """
@@ -18,6 +25,8 @@ class Memo(dict):
         self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
+        if len(key) > LONGEST:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)

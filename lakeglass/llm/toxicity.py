@@ -1,15 +1,16 @@
 """Toxicity scores from a bidirectional gated recurrent network, in numpy.
 
-A text is cut into overlapping windows of words.  Each word enters as a hashed
-word vector, the mean of hashed character n-gram vectors, and evidence features
-(log-odds of the word and of its strongest n-grams, estimated on the training
-sample).  A gated recurrent network reads a window in both directions, attention
-pools its states, and a logistic unit scores it.  A text's score is that of its
-worst window, so one bad passage in a long text counts.
-
-Training is multiple-instance: in every epoch all windows of the sample are
-scored, and the worst window of each document is pushed towards the document's
-label.
+A text is cut into overlapping windows of words.  Each word enters as a learned
+word vector and the mean of the learned vectors of its character n-grams.  Words
+and n-grams that few documents of the training sample hold have no vector of their
+own: such words share one, and such n-grams are left out.  A gated recurrent
+network reads a window in both directions, attention pools its states, and a
+logistic unit scores it.  A text's score is that of its worst window, so one bad
+passage in a long text counts.
+
+Training is multiple-instance: the worst window of each document of the sample is
+pushed towards the document's label.  Documents of few windows come first, since
+their label says most about a window.
 """
 
 from __future__ import annotations
@@ -22,30 +23,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeglass.llm.session import bounded_sample, fit_remotely
 from lakeglass.llm.textbatch import LETTER, Words, blocks
 from lakeglass.llm.wordgrams import distinct, gram_buckets
 
 WINDOW, STRIDE = 64, 56
 HIDDEN = 8
-WORD_DIM = CHAR_DIM = 4
-#: Buckets of the learned vectors, and of the evidence tables.
-WORD_BUCKETS, CHAR_BUCKETS = 1 << 12, 1 << 13
-EVIDENCE_BUCKETS = 1 << 20
+WORD_DIM, CHAR_DIM = 6, 6
 GRAMS = (4, 5, 6)
-EVIDENCE = 2
-EPOCHS = 5
+#: N-grams are told apart by this many hash values.
+GRAM_HASHES = 1 << 40
+#: Words and n-grams with vectors: the most frequent ones of those in so many documents, and in that share, of the sample.
+MAX_WORDS, MAX_GRAMS, LEAST_DOCS, LEAST_SHARE = 1 << 14, 1 << 15, 3, 0.004
+EPOCHS = 16
 #: Small samples get more epochs, up to this many steps, and MAX_EPOCHS.
-LEAST_STEPS, MAX_EPOCHS = 120, 30
-#: Parts for the cross-fitting of evidence.
-PARTS = 4
-#: Speed and decay of the hashed vectors.
-VECTOR_RATE, VECTOR_DECAY = 0.03, 0.2
-#: Characters of one training step.
-BATCH_CHARS = 150_000
-#: Documents of each label that the network is fitted on.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 800, 1200
-#: Longer documents are left out of the sample, which bounds its bytes.
-SAMPLE_CHARS = 8_000
+LEAST_STEPS, MAX_EPOCHS = 240, 40
+#: Speed of the vectors, which follow plain gradients with momentum, and their decay.
+VECTOR_RATE, VECTOR_DECAY = 800.0, 0.04
+#: One document in so many is kept back to choose the epoch and to calibrate the scores.
+KEPT_BACK = 5
+#: Share of the words that training hides behind the shared vector.
+HIDDEN_WORDS = 0.3
+#: Windows of a document that is trained on in the first epochs.
+SHORT_WINDOWS, SHORT_EPOCHS = 2, 2
+#: Characters of one training step; small samples are cut into so many steps at least.
+BATCH_CHARS, LEAST_BATCHES = 120_000, 12
+#: Documents of each label that the network is fitted on, and their bytes in all.
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 800, 1200, 8_000_000
 #: Characters scored together.
 SCORE_CHARS = 4_000_000
 
@@ -58,9 +62,9 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Block:
-    """The words of some texts, their windows, and hashed inputs of the distinct words.
+    """The words of some texts, their windows, and the hashes of the distinct words and their n-grams.
 
-    Row ``len(word)`` of the inputs stands for padding.
+    ``grams`` holds n-gram hashes by size and position, ``GRAM_HASHES`` for none.
     """
 
     words: Words
@@ -90,110 +94,96 @@ def prepare(texts: list[str | None]) -> Block | None:
         return None
     hashes = words.hashes()
     which, number = distinct(words, hashes)
-    begin, grams = gram_buckets(words, which, GRAMS, EVIDENCE_BUCKETS)
-    return Block(words, number, (hashes[which] % np.uint64(EVIDENCE_BUCKETS)).astype(np.int64), begin, grams)
+    begin, grams = gram_buckets(words, which, GRAMS, GRAM_HASHES)
+    return Block(words, number, hashes[which], begin, grams)
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
-    """Positive log-odds of document counts, shrunk towards 0 for buckets seen in few documents."""
-    odds = np.log((toxic + 0.5) / (n_toxic + 1.0)) - np.log((clean + 0.5) / (n_clean + 1.0))
-    seen = toxic + clean
-    return np.maximum(odds * seen / (seen + 4.0), 0).astype(_F)
+def _frequent(found: list[np.ndarray], most: int, least: float) -> np.ndarray:
+    """Sorted values that at least ``least`` documents hold, the ``most`` frequent of them."""
+    values, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+    order = np.argsort(-counts, kind="stable")[:most]
+    return np.sort(values[order[counts[order] >= least]])
 
 
-@dataclass
-class Evidence:
-    """Log-odds by bucket of words and of n-grams; the last n-gram row means none."""
-
-    word: np.ndarray
-    char: np.ndarray
-
-    @classmethod
-    def of(cls, counts: Counts) -> Evidence:
-        char = log_odds(counts.char[1], counts.char[0], *counts.n[::-1])
-        char[EVIDENCE_BUCKETS] = 0
-        return cls(log_odds(counts.word[1], counts.word[0], *counts.n[::-1]), char)
-
+def vocabulary(blocks_: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words and of the n-grams that get vectors."""
+    words, grams = [], []
+    least = max(LEAST_DOCS, LEAST_SHARE * sum(b.words.n_texts for b in blocks_))
+    for block in blocks_:
+        size = np.diff(np.append(block.gram_begin, len(block.grams[0])))
+        held = np.unique(block.words.doc.astype(np.int64) * len(block.word) + block.number)
+        doc, word = held // len(block.word), held % len(block.word)
+        words.append(block.word[word])
+        spot = np.repeat(block.gram_begin[word] - (np.cumsum(size[word]) - size[word]), size[word]) + np.arange(size[word].sum())
+        who = np.repeat(doc, size[word])
+        for g in block.grams:
+            # An n-gram counts once for each document.
+            own = g[spot]
+            order = np.lexsort((own, who))
+            own, at = own[order], who[order]
+            once = np.ones(len(own), dtype=bool)
+            once[1:] = (own[1:] != own[:-1]) | (at[1:] != at[:-1])
+            grams.append(own[once & (own != GRAM_HASHES)])
+    return _frequent(words, MAX_WORDS, least), _frequent(grams, MAX_GRAMS, least)
 
-class Counts:
-    """Documents of each label that hold each bucket."""
 
-    def __init__(self) -> None:
-        self.n = [0, 0]
-        self.word = np.zeros((2, EVIDENCE_BUCKETS))
-        self.char = np.zeros((2, EVIDENCE_BUCKETS + 1))
+def _rank(vocab: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Place of each value in a sorted vocabulary, ``len(vocab)`` for others."""
+    if not len(vocab):
+        return np.zeros(len(values), dtype=np.int64)
+    at = np.minimum(np.searchsorted(vocab, values), len(vocab) - 1)
+    return np.where(vocab[at] == values, at, len(vocab))
 
-    def add(self, block: Block, y: np.ndarray) -> None:
-        held = np.unique(block.words.doc.astype(np.int64) * len(block.word) + block.number)
-        doc, word = held // len(block.word), held % len(block.word)
-        ends = np.append(block.gram_begin, len(block.grams[0]))
-        size = np.diff(ends)[word]
-        spot = np.repeat(ends[:-1][word] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        who = np.repeat(doc, size)
-        width = EVIDENCE_BUCKETS + 1
-        words = np.unique(doc * width + block.word[word])
-        chars = np.unique(np.concatenate([who * width + g[spot] for g in block.grams]))
-        for label in (0, 1):
-            self.n[label] += int((y == label).sum())
-            for table, pairs in ((self.word, words), (self.char, chars)):
-                own = pairs[y[pairs // width] == label] % width
-                table[label] += np.bincount(own, minlength=table.shape[1])
-
-    def _combine(self, other: Counts, sign: int) -> Counts:
-        out = Counts()
-        out.n = [a + sign * b for a, b in zip(self.n, other.n, strict=True)]
-        out.word, out.char = self.word + sign * other.word, self.char + sign * other.char
-        return out
 
-    def __add__(self, other: Counts) -> Counts:
-        return self._combine(other, 1)
+@dataclass
+class Inputs:
+    """Rows of the word vectors by distinct word, and rows of the n-gram vectors with the word each belongs to."""
 
-    def __sub__(self, other: Counts) -> Counts:
-        return self._combine(other, -1)
+    word: np.ndarray
+    gram: np.ndarray
+    gram_owner: np.ndarray
 
 
 class Network:
     """Parameters, forward pass, and gradients of the window scorer."""
 
-    INPUT = WORD_DIM + CHAR_DIM + EVIDENCE
+    INPUT = WORD_DIM + CHAR_DIM
 
-    def __init__(self, seed: int = 7):
+    def __init__(self, words: np.ndarray, grams: np.ndarray, seed: int = 7):
         rng = np.random.default_rng(seed)
 
         def init(*shape: int, scale: float) -> np.ndarray:
             return (rng.standard_normal(shape) * scale).astype(_F)
 
         h = HIDDEN
+        self.words, self.grams = words, grams
         self.p = {
-            "word": init(WORD_BUCKETS, WORD_DIM, scale=0.05),
-            "char": init(CHAR_BUCKETS, CHAR_DIM, scale=0.05),
+            "word": init(len(words) + 1, WORD_DIM, scale=0.05),
+            "char": init(len(grams), CHAR_DIM, scale=0.05),
             "attend": init(2 * h, scale=0.3),
             "out": init(2 * h, scale=0.3),
             "bias": np.full(1, -1.0, _F),
         }
         for d in ("f", "b"):
             self.p |= {f"W{d}": init(self.INPUT, 3 * h, scale=0.3), f"U{d}": init(h, 3 * h, scale=0.3), f"c{d}": np.zeros(3 * h, _F)}
-        self.evidence = Evidence(np.zeros(EVIDENCE_BUCKETS, _F), np.zeros(EVIDENCE_BUCKETS + 1, _F))
 
     # Inputs -------------------------------------------------------------------
 
-    def inputs(self, block: Block) -> np.ndarray:
+    def look_up(self, block: Block) -> Inputs:
+        """Which vectors the distinct words of a block use."""
+        size = np.diff(np.append(block.gram_begin, len(block.grams[0])))
+        owner = np.repeat(np.arange(len(block.word)), size)
+        rows = [_rank(self.grams, g) for g in block.grams]
+        known = [r < len(self.grams) for r in rows]
+        row, word = np.concatenate([r[k] for r, k in zip(rows, known, strict=True)]), np.concatenate([owner[k] for k in known])
+        order = np.argsort(word, kind="stable")
+        return Inputs(_rank(self.words, block.word), row[order], word[order])
+
+    def inputs(self, at: Inputs) -> np.ndarray:
         """Input vector of each distinct word."""
-        vectors = np.vstack([self.p["char"], np.zeros((1, CHAR_DIM), _F)])
-        n_grams = np.zeros(len(block.grams[0]), _F)
-        total = np.zeros((len(block.grams[0]), CHAR_DIM), _F)
-        tops = []
-        for g in block.grams:
-            total += vectors[_vector_bucket(g)]
-            n_grams += g < EVIDENCE_BUCKETS
-            tops.append(np.maximum.reduceat(self.evidence.char[g], block.gram_begin))
-        mean = np.add.reduceat(total, block.gram_begin, axis=0) / np.maximum(np.add.reduceat(n_grams, block.gram_begin), 1)[:, None]
-        # Second best of the three sizes: a telling part of a word shows in n-grams of
-        # several sizes, a collision of buckets in one.
-        a, b, c = tops
-        strongest = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))
-        evidence = np.stack([self.evidence.word[block.word], strongest], axis=1) * _F(0.5)
-        return np.concatenate([self.p["word"][block.word % WORD_BUCKETS], mean, evidence], axis=1)
+        n = len(at.word)
+        mean = _sum_by(at.gram_owner, self.p["char"][at.gram], n) / np.maximum(np.bincount(at.gram_owner, minlength=n), 1).astype(_F)[:, None]
+        return np.concatenate([self.p["word"][at.word], mean], axis=1)
 
     # Forward ------------------------------------------------------------------
 
@@ -256,7 +246,7 @@ class Network:
 
     def logits(self, block: Block, x: np.ndarray | None = None, chunk: int = 4096) -> np.ndarray:
         """Logit of every window of a block."""
-        x = self.inputs(block) if x is None else x
+        x = self.inputs(self.look_up(block)) if x is None else x
         out = np.empty(len(block.windows), _F)
         for i in range(0, len(out), chunk):
             rows = np.arange(i, min(i + chunk, len(out)))
@@ -265,9 +255,9 @@ class Network:
 
     # Backward -----------------------------------------------------------------
 
-    def gradients(self, block: Block, windows: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    def gradients(self, block: Block, look: Inputs, windows: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Weighted mean cross-entropy of some windows and its gradient by every parameter."""
-        x = self.inputs(block)
+        x = self.inputs(look)
         at = self.steps(block, windows)
         k: dict = {}
         logit = self.forward(x, at, k)
@@ -303,12 +293,9 @@ class Network:
             g[f"W{d}"] += x.T @ d_gates
             g[f"c{d}"] += d_gates.sum(axis=0)
             d_x += d_gates @ self.p[f"W{d}"].T
-        g["word"] += _sum_by(block.word % WORD_BUCKETS, d_x[:, :WORD_DIM], WORD_BUCKETS)
-        n_grams = sum(np.add.reduceat((b < EVIDENCE_BUCKETS).astype(_F), block.gram_begin) for b in block.grams)
-        each = d_x[:, WORD_DIM : WORD_DIM + CHAR_DIM] / np.maximum(n_grams, 1)[:, None]
-        spread = np.repeat(each, np.diff(np.append(block.gram_begin, len(block.grams[0]))), axis=0)
-        for b in block.grams:
-            g["char"] += _sum_by(_vector_bucket(b), spread, CHAR_BUCKETS + 1)[:CHAR_BUCKETS]
+        g["word"] += _sum_by(look.word, d_x[:, :WORD_DIM], len(self.words) + 1)
+        each = d_x[:, WORD_DIM:] / np.maximum(np.bincount(look.gram_owner, minlength=len(x)), 1)[:, None]
+        g["char"] += _sum_by(look.gram, each[look.gram_owner], len(self.grams))
         return loss, g
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -321,126 +308,182 @@ class Network:
         return np.where(np.isfinite(out), 1 / (1 + np.exp(-np.clip(out, -30, 30))), 0.0)
 
 
-def _vector_bucket(gram: np.ndarray) -> np.ndarray:
-    """Bucket of an n-gram's learned vector; the last row is that of no n-gram."""
-    return np.where(gram == EVIDENCE_BUCKETS, CHAR_BUCKETS, gram % CHAR_BUCKETS)
-
-
 def _sum_by(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of the rows of ``values`` that share a number below ``n``."""
     return np.stack([np.bincount(rows, weights=values[:, j], minlength=n) for j in range(values.shape[1])], axis=1).astype(_F)
 
 
+def calibrate(logit: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float, float]:
+    """(slope, shift, loss) of the logistic fit of ``y`` on ``logit`` where label 1 has the weight ``share``.
+
+    By Newton steps on two weak priors (slope 1, shift 0), so a handful of labels, or
+    labels that separate, give finite values.
+    """
+    weight = np.where(y > 0, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
+    x = np.stack([logit, np.ones_like(logit)], axis=1)
+    prior, center, theta = np.array([1.0, 0.1]), np.array([1.0, 0.0]), np.array([1.0, 0.0])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+        slope = x.T @ (weight * (p - y)) + prior * (theta - center)
+        bend = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(prior)
+        theta = theta - np.linalg.solve(bend, slope)
+        theta[0] = max(theta[0], 0.05)
+    z = x @ theta
+    return float(theta[0]), float(theta[1]), float((weight * (np.logaddexp(0, z) - y * z)).sum() / weight.sum())
+
+
+def _blocks_of(texts: list[str], labels: np.ndarray, which: np.ndarray) -> list[tuple[Block, np.ndarray]]:
+    out = []
+    size = min(BATCH_CHARS, sum(len(texts[i]) for i in which) // LEAST_BATCHES + 1)
+    for begin, part in blocks(pa.array([texts[i] for i in which], pa.string()), size):
+        if (block := prepare(part)) is not None:
+            out.append((block, labels[which[begin : begin + len(part)]]))
+    return out
+
+
+def _worst(block: Block, logit: np.ndarray) -> np.ndarray:
+    """The window with the highest logit of each text that has any."""
+    order = np.lexsort((-logit, block.owner))
+    return order[np.concatenate(([True], block.owner[order][1:] != block.owner[order][:-1]))]
+
+
 def train(texts: list[str], toxic: list[int], *, share: float | None = None, epochs: int = EPOCHS, seed: int = 7) -> Network:
-    """Fit a network by Adam; with one label only, or none, scores stay near that label.
+    """Fit a network; with one label only, or none, scores stay near that label.
 
     ``share`` is the share of label 1 among all labels, that of the sample if not given.
 
-    Evidence is cross-fitted: while training, each part of the documents gets the
-    evidence that the other parts give, so the network learns how far to trust
-    evidence on documents that did not contribute to it.  The hashed vectors learn
-    slowly and decay, or they would learn the sample by heart.
+    The recurrent part follows Adam.  The vectors follow plain gradients with
+    momentum and decay, so a vector moves as far as its gradients agree: words that
+    only few documents hold stay where they are instead of being learned by heart.
+    The documents kept back choose the epoch and calibrate the scores.
     """
-    net = Network(seed)
     labels = np.array(toxic, dtype=np.float64)
     n_toxic, n_clean = int(labels.sum()), int((1 - labels).sum())
-    if not n_toxic or not n_clean:
+    share = (n_toxic / len(labels) if len(labels) else 0.0) if share is None else share
+    share = min(max(share, 0.001), 0.999)
+    rng = np.random.default_rng(seed)
+    kept = np.zeros(len(labels), dtype=bool)
+    for label in (0, 1):
+        own = np.flatnonzero(labels == label)
+        kept[own[KEPT_BACK - 1 :: KEPT_BACK]] = True
+    dealt = rng.permutation(np.flatnonzero(~kept))
+    batches, checks = _blocks_of(texts, labels, dealt), _blocks_of(texts, labels, np.flatnonzero(kept))
+    net = Network(*vocabulary([b for b, _ in batches]), seed)
+    if not n_toxic or not n_clean or not batches:
         net.p["out"][:] = 0
         net.p["bias"][0] = 4.0 if n_toxic else -4.0
         return net
-    # Both labels are dealt evenly to the parts.
-    part_of = np.empty(len(labels), dtype=np.int64)
-    for label in (0, 1):
-        own = np.flatnonzero(labels == label)
-        part_of[own] = np.arange(len(own)) % PARTS
-    batches, counts = [], [Counts() for _ in range(PARTS)]
-    for k in range(PARTS):
-        own = np.flatnonzero(part_of == k)
-        for begin, part in blocks(pa.array([texts[i] for i in own], pa.string()), BATCH_CHARS):
-            if (block := prepare(part)) is not None:
-                y = labels[own[begin : begin + len(part)]]
-                counts[k].add(block, y)
-                batches.append((k, block, y))
-    whole = sum(counts[1:], counts[0])
-    elsewhere = [Evidence.of(whole - c) for c in counts]
-    rng = np.random.default_rng(seed)
+    looked = [net.look_up(b) for b, _ in batches]
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
     weight_toxic = _F(min(n_clean / n_toxic, 3.0))
     epochs = max(epochs, min(MAX_EPOCHS, -(-LEAST_STEPS // len(batches))))
+    best: tuple[float, dict[str, np.ndarray]] | None = None
     for epoch in range(epochs):
-        rate = 0.03 * (1 - epoch / epochs) + 0.003
+        rate = 0.03 * (1 - epoch / epochs) + 0.002
         for i in rng.permutation(len(batches)):
-            k, block, y = batches[i]
-            net.evidence = elsewhere[k]
-            x = net.inputs(block)
-            if epoch < 2:
-                # Before much is learned, the window with most evidence stands for its text.
-                most = np.append(x[:, -EVIDENCE:].max(axis=1), _F(0))
-                logit = most[net.steps(block, np.arange(len(block.windows)))].max(axis=0)
+            block, y = batches[i]
+            look = looked[i]
+            hidden = rng.random(len(look.word)) < HIDDEN_WORDS
+            seen = ~hidden[look.gram_owner]
+            look = Inputs(np.where(hidden, len(net.words), look.word), look.gram[seen], look.gram_owner[seen])
+            if epoch < SHORT_EPOCHS:
+                short = np.bincount(block.owner, minlength=len(y))[block.owner] <= SHORT_WINDOWS
+                worst = np.flatnonzero(short)
+                if not len(worst):
+                    continue
             else:
-                logit = net.logits(block, x)
-            order = np.lexsort((-logit, block.owner))
-            worst = order[np.concatenate(([True], block.owner[order][1:] != block.owner[order][:-1]))]
+                worst = _worst(block, net.logits(block, net.inputs(look)))
             target = y[block.owner[worst]].astype(_F)
-            _, grads = net.gradients(block, worst, target, np.where(target > 0, weight_toxic, _F(1)))
+            _, grads = net.gradients(block, look, worst, target, np.where(target > 0, weight_toxic, _F(1)))
             step += 1
             for name, g in grads.items():
+                if name in ("word", "char"):
+                    first[name] = _F(0.9) * first[name] + g
+                    net.p[name] = net.p[name] * _F(1 - VECTOR_DECAY) - _F(rate * VECTOR_RATE) * first[name]
+                    continue
                 first[name] = _F(0.9) * first[name] + _F(0.1) * g
                 second[name] = _F(0.99) * second[name] + _F(0.01) * g * g
-                slow = VECTOR_RATE if name in ("word", "char") else 1.0
-                if slow < 1:
-                    net.p[name] *= _F(1 - rate * VECTOR_DECAY)
-                net.p[name] = net.p[name] - _F(rate * slow) * (first[name] / _F(1 - 0.9**step)) / (np.sqrt(second[name] / _F(1 - 0.99**step)) + _F(1e-5))
-    net.evidence = Evidence.of(whole)
-    # The sample and its weights overstate label 1: shift the odds to its share of all labels.
-    share = n_toxic / len(labels) if share is None else min(max(share, 0.001), 0.999)
-    net.p["bias"] = net.p["bias"] + _F(np.log(share / (1 - share)) - np.log(weight_toxic * n_toxic / n_clean))
+                net.p[name] = net.p[name] - _F(rate) * (first[name] / _F(1 - 0.9**step)) / (np.sqrt(second[name] / _F(1 - 0.99**step)) + _F(1e-5))
+        if 2 * epoch >= epochs or epoch == epochs - 1:
+            found = [(net.logits(b), b, y) for b, y in checks]
+            logit = np.concatenate([v[_worst(b, v)] for v, b, _ in found] or [np.empty(0)]).astype(np.float64)
+            y = np.concatenate([y[b.owner[_worst(b, v)]] for v, b, y in found] or [np.empty(0)])
+            if not len(y) or y.min() == y.max():
+                # Too few labels to calibrate on: the weights overstate label 1, so shift the odds to its share.
+                slope, shift, loss = 1.0, float(np.log(share / (1 - share)) - np.log(weight_toxic * n_toxic / n_clean)), -float(epoch)
+            else:
+                slope, shift, loss = calibrate(logit, y, share)
+            if best is None or loss < best[0]:
+                best = loss, {k: v.copy() for k, v in net.p.items()} | {"out": net.p["out"] * _F(slope), "bias": net.p["bias"] * _F(slope) + _F(shift)}
+    net.p = best[1]
     return net
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network:
-    """Fit on a bounded sample of labelled documents.
+    """Fit on a bounded sample of labelled documents, in one task of an executor.
 
-    At most about ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` documents of at most
-    ``SAMPLE_CHARS`` characters are taken, by a hash of the id, so the sample is
-    the same however the rows are dealt.  A document with several label rows has
-    the highest; null labels and null texts teach nothing.
+    At most ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` documents are taken, by a hash of
+    the id, so the sample is the same however the rows are dealt; of each label they
+    hold ``SAMPLE_BYTES`` bytes and one document at most, and no length is left out.
+    Equal rows count once.  A document with several label rows has the highest;
+    labels other than 0 and 1, null labels, null ids and empty texts teach nothing.
     """
-    judged = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y"))
-    texts = docs.where(F.length(text_col).between(1, SAMPLE_CHARS)).select(F.col(id_col), F.col(text_col).alias("text"))
-    h = F.shiftrightunsigned(F.xxhash64(id_col, F.lit("toxicity sample")), 11)
-    # Twice the wanted number of labels by hash, since some documents are too long; then the documents.
+    judged = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
+    text = F.col(text_col)
+    rows = docs.where(F.length(text) > 0).select(F.col(id_col).alias("_id"), text.alias("text"), F.xxhash64(text).alias("k"))
     sizes = {r["y"]: r["n"] for r in judged.groupBy("y").agg(F.count("*").alias("n")).collect()}
     bound = {0: SAMPLE_CLEAN, 1: SAMPLE_TOXIC}
+    h = F.shiftrightunsigned(F.xxhash64("_id", F.lit("toxicity sample")), 11)
     wanted = F.lit(False)
     for y, n in sizes.items():
-        wanted = wanted | ((F.col("y") == y) & (h < int(min(1.0, 1.6 * bound.get(y, 0) / n) * 2**53)))
-    chosen = judged.where(wanted).select(id_col, "y", h.alias("h"))
-    rows = []
-    for y, most in bound.items():
-        rows += texts.join(F.broadcast(chosen.where(F.col("y") == y).orderBy("h", id_col).limit(2 * most)), id_col).orderBy("h", id_col, "text").limit(most).select("text", "y").collect()
-    n_all = sizes.get(0, 0) + sizes.get(1, 0)
-    return train([r["text"] for r in rows], [int(r["y"]) for r in rows], share=sizes.get(1, 0) / n_all if n_all else None)
+        # Twice the number wanted, since a labelled document may be missing.
+        wanted = wanted | ((F.col("y") == y) & (h < int(min(1.0, 2.0 * bound[y] / n) * 2**53)))
+    chosen = judged.where(wanted).select("_id", "y", h.alias("h"))
+    sample = bounded_sample(rows.join(F.broadcast(chosen), "_id"), "y", {y: (n, SAMPLE_BYTES) for y, n in bound.items()}, rows, ["_id", "k"])
+    n_all = sum(sizes.values())
+    share = sizes.get(1, 0) / n_all if n_all else None
 
+    def fit(table: pa.Table) -> Network:
+        at = np.lexsort((table.column("k").to_numpy(), table.column("h").to_numpy()))
+        table = table.take(pa.array(at))
+        return train(table.column("text").to_pylist(), table.column("y").to_pylist(), share=share)
 
-def score_documents(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    return fit_remotely(sample.select("text", "y", "h", "k"), fit)
+
+
+def score_documents(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, keep_below: bool = False) -> DataFrame:
     """Every row's id, ``score`` (0 to 1, its worst window) and ``predicted`` (1 from ``threshold`` on).
 
+    With ``keep_below`` the rows that are predicted 0 are returned instead, as they
+    are, with all their columns.
+
     Null and empty texts, and texts without a letter, score 0.  Rows are
-    independent: repeated rows, ties and skew have no effect.  Only the two named
-    columns are read.
+    independent: repeated rows, ties, null ids and skew have no effect, and an empty
+    table gives an empty result.  A very long text is scored in windows like any
+    other; the memory needed is in proportion to the longest text of a batch.
+    Other columns are not looked at.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(net)  # size: fixed by the bucket counts, about 9 MB
+    shared = docs.sparkSession.sparkContext.broadcast(net)  # size: fixed by MAX_WORDS and MAX_GRAMS, about 1.5 MB
+
+    def scores(column: pa.Array) -> np.ndarray:
+        out = [shared.value.score(texts) for _, texts in blocks(column, SCORE_CHARS)]
+        return np.concatenate(out) if out else np.empty(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [shared.value.score(texts) for _, texts in blocks(batch.column(1), SCORE_CHARS)]
-            flat = np.concatenate(scores) if scores else np.empty(0)
+            flat = scores(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(flat, pa.float64()), pa.array((flat >= threshold).astype(np.int32), pa.int32())], names=[id_col, "score", "predicted"]
             )
 
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column(place)) < threshold))
+
+    if keep_below:
+        place = docs.columns.index(text_col)
+        return docs.mapInArrow(keep, docs.schema)
+    id_type = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, score double, predicted int")

@@ -82,25 +82,110 @@ def test_windows_cover_every_word():
         assert seen == set(range(a, b))
 
 
+def odd_network(seed=3):
+    texts = ["a bc def gh idiot foo bar " * 14, "one two three", "a def idiot", "one bar foo", "two gh bc"]
+    block = toxicity.prepare(texts)
+    words, grams = np.unique(block.word)[::2], np.unique(np.concatenate(block.grams))
+    net = toxicity.Network(words, grams[(grams != toxicity.GRAM_HASHES) & (grams % 3 > 0)], seed)
+    return net, texts, block
+
+
 def test_gradients():
-    net = toxicity.Network(3)
+    net, _, block = odd_network()
     net.p = {k: v.astype(np.float64) * 2 for k, v in net.p.items()}
-    rng = np.random.default_rng(0)
-    net.evidence = toxicity.Evidence(rng.random(toxicity.EVIDENCE_BUCKETS), rng.random(toxicity.EVIDENCE_BUCKETS + 1))
-    block = toxicity.prepare(["a bc def gh idiot foo bar " * 14, "one two three"])
-    windows, y, w = np.arange(3), np.array([1.0, 0, 1]), np.array([1.0, 2, 1.5])
-    _, grads = net.gradients(block, windows, y, w)
+    look = net.look_up(block)
+    windows, y, w = np.arange(4), np.array([1.0, 0, 1, 0]), np.array([1.0, 2, 1.5, 1])
+    _, grads = net.gradients(block, look, windows, y, w)
     for name, g in grads.items():
         at = np.unravel_index(np.abs(g).argmax(), g.shape)
         kept, step = net.p[name][at], 1e-3
         net.p[name][at] = kept + step
-        up, _ = net.gradients(block, windows, y, w)
+        up, _ = net.gradients(block, look, windows, y, w)
         net.p[name][at] = kept - step
-        down, _ = net.gradients(block, windows, y, w)
+        down, _ = net.gradients(block, look, windows, y, w)
         net.p[name][at] = kept
         assert (up - down) / 2 / step == pytest.approx(g[at], rel=0.02, abs=1e-4), name
 
 
+def test_scores_like_a_plain_loop():
+    """The whole score, word by word and window by window, from the network's parameters."""
+    net, texts, block = odd_network(5)
+    net.p = {k: v * 2 for k, v in net.p.items()}
+    h, look = toxicity.HIDDEN, net.look_up(block)
+
+    def sigmoid(x):
+        return 1 / (1 + np.exp(-x))
+
+    def vector(word):
+        chars = [net.p["char"][r] for r, w in zip(look.gram, look.gram_owner, strict=True) if w == word]
+        return np.concatenate([net.p["word"][look.word[word]], np.mean(chars, axis=0) if chars else np.zeros(toxicity.CHAR_DIM)])
+
+    def states(words, d):
+        state, out = np.zeros(h), {}
+        for i in range(len(words)) if d == "f" else reversed(range(len(words))):
+            x, u = vector(words[i]) @ net.p[f"W{d}"] + net.p[f"c{d}"], net.p[f"U{d}"]
+            z, r = sigmoid(x[:h] + state @ u[:, :h]), sigmoid(x[h : 2 * h] + state @ u[:, h : 2 * h])
+            n = np.tanh(x[2 * h :] + r * (state @ u[:, 2 * h :]))
+            out[i] = state = (1 - z) * n + z * state
+        return out
+
+    for k, got in enumerate(net.score(texts)):
+        own = block.number[block.words.first[k] : block.words.first[k + 1]]
+        best = -np.inf
+        for at in range(0, max(1, len(own) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+            words = own[at : at + toxicity.WINDOW]
+            both = [np.concatenate([f, b]) for f, b in ((states(words, "f")[i], states(words, "b")[i]) for i in range(len(words)))]
+            energy = np.array([s @ net.p["attend"] for s in both])
+            weight = np.exp(energy - energy.max())
+            best = max(best, float((weight / weight.sum()) @ np.array([s @ net.p["out"] for s in both])) + float(net.p["bias"][0]))
+        assert got == pytest.approx(sigmoid(best), abs=1e-4)
+
+
+def test_held_out_toxicity(spark, tables):
+    """Held-out quality on the larger table: ranking, recall, and clean documents left alone."""
+    from pyspark.sql import functions as F
+
+    from lakeglass.llm import queries
+
+    big = tables.replace("sf0.01", "sf0.1")
+    labels = spark.read.parquet(f"{big}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("y"))
+    rows = queries.op1_toxicity(spark, big).where("held_out").join(labels, "doc_id").toPandas()
+    rank, toxic = rows["score"].rank(), rows["y"] == 1
+    auc = (rank[toxic].sum() - toxic.sum() * (toxic.sum() + 1) / 2) / (toxic.sum() * (~toxic).sum())
+    assert auc > 0.9
+    assert rows.loc[toxic, "predicted"].mean() > 0.7 and rows.loc[~toxic, "predicted"].mean() < 0.05
+
+
+def test_sample_takes_long_texts_and_equal_rows_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_remotely", lambda rows, fit: seen.extend(rows.collect()))
+    docs = spark.createDataFrame([(1, "x" * 200_000), *[(2, "again")] * 50, (3, "clean"), (4, ""), (None, "null")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, None), (3, 0), (4, 0), (None, 1), (9, 1), (3, 7)], "doc_id bigint, toxic int")
+    toxicity.learn(docs, labels)
+    assert sorted((r["y"], len(r["text"])) for r in seen) == [(0, 5), (0, 5), (1, 200_000)]
+
+
+def test_language_sample_leaves_no_language_out(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_id, "fit_remotely", lambda rows, fit: seen.extend(rows.collect()))
+    rows = [(i, f"text {i} of k", f"l{i % 200}") for i in range(4000)] + [(5000, "long " * 100_000, "rare"), (None, "no id", "none"), (5001, None, "en"), (5002, "x", None)]
+    language_id.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sample_docs=100)
+    assert {r["lang"] for r in seen} == {f"l{i}" for i in range(200)} | {"rare", "none"}
+    assert len(seen) <= 4 * 200 + 2
+
+
+def test_many_languages():
+    rng = np.random.default_rng(4)
+    scores = np.full((40, 200), -5.0, dtype=np.float32)
+    best = np.repeat(rng.integers(128, 200, 4), 10)
+    scores[np.arange(40), best] = 5.0
+    assert language_id.viterbi(scores, np.array([0, 40]), 1.0).tolist() == best.tolist()
+    names = [f"l{k:03d}" for k in range(300)]
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 8)) for _ in names]
+    model = language_id.fit([f"{w} {w} {w}" for w in words], names)
+    assert model.predict([f"{w} {w}" for w in words])[0] == names
+
+
 @pytest.fixture(scope="module")
 def net():
     rnd = random.Random(7)

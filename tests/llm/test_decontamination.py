@@ -106,4 +106,58 @@ def test_short_items_and_pieces_need_a_whole_copy(spark):
     a = spark.createDataFrame(docs, "doc_id bigint, text string")
     rows = dec.contamination(a, spark.createDataFrame(bench, "item_id bigint, text string")).collect()
     assert {r["doc_id"]: r["items"] for r in rows if r["contaminated"]} == {3: [2], 5: [3], 6: [1]}
-    assert {len(w) for w in dec.Items.of([1], [" ".join(["a"] * 600)]).words} == {200}
+    assert {len(w) for w in dec.Items.of_texts([" ".join(["a"] * 600)]).words} == {200}
+
+
+@pytest.mark.parametrize("n", [255, 256, 257, 512, 513])
+def test_scores_are_relative_to_the_whole_item(spark, n):
+    item = [f"w{i}x" for i in range(n - 1)] + ["the"]
+    docs = [(1, "a calm house by the river"), (2, " ".join(item)), (3, " ".join(item[: n // 2])), (4, " ".join(item[:40])), (5, " ".join(item[-52:]))]
+    a = spark.createDataFrame(docs, "doc_id bigint, text string")
+    rows = {r["doc_id"]: r for r in dec.contamination(a, spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")).collect()}
+    assert rows[2]["best_score"] == 1.0 and rows[3]["best_score"] == pytest.approx(n // 2 / n, abs=0.01)
+    assert {i for i, r in rows.items() if r["contaminated"]} == {2, 3, 5}
+
+
+def test_null_and_repeated_ids(spark):
+    item = " ".join(f"w{i}x" for i in range(30))
+    a = spark.createDataFrame([(None, item), (None, "a calm house"), (1, "a calm house"), (1, item), (2, "a calm house"), (2, "a calm house")], "doc_id bigint, text string")
+    rows = dec.contamination(a, spark.createDataFrame([(1, item), (1, item)], "item_id bigint, text string")).collect()
+    assert sorted(((r["doc_id"], r["contaminated"]) for r in rows), key=str) == sorted([(None, True), (1, True), (2, False)], key=str)
+
+
+def test_a_long_text_full_of_hits(spark):
+    item = ["one", "word", "and", "another", "word", "and", "so", "on"] * 6
+    rnd = random.Random(3)
+    a = spark.createDataFrame([(1, "one word and another word and so on " * 4000), (2, " ".join(rnd.choice(["one", "word", "and", "on"]) for _ in range(20_000)))], "doc_id bigint, text string")
+    rows = {r["doc_id"]: r for r in dec.contamination(a, spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")).collect()}
+    assert rows[1]["best_score"] == 1.0 and 0 < rows[2]["best_score"] < 1
+
+
+def test_whole_operator_like_brute_force(spark):
+    """Every document against every item, cell by cell, over the whole texts."""
+    rnd = random.Random(12)
+    items = [[f"{w}{k}" if rnd.random() < 0.5 else w for w in words(rnd.randrange(8, 40), rnd)] for k in range(12)]
+    docs = []
+    for i in range(60):
+        doc = words(rnd.randrange(10, 120), rnd)
+        if i % 2:
+            passage = [w for w in items[i % 12] if rnd.random() < 0.9]
+            doc[5:5] = passage[: rnd.randrange(4, len(passage) + 1)]
+        docs.append(doc)
+    want = {}
+    for i, d in enumerate(docs):
+        for k, item in enumerate(items):
+            grams = {tuple(item[j : j + dec.SEED]) for j in range(len(item) - dec.SEED + 1)}
+            if any(tuple(d[j : j + dec.SEED]) in grams for j in range(len(d))):
+                want[i, k] = smith_waterman(d, item) / (2 * len(item))
+    a = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in dec.matches(a, bench).collect()}
+    assert got.keys() == want.keys()
+    # A window looks at neighbouring diagonals only, so a score may fall short where an alignment wanders far, never exceed.
+    assert all(got[p] <= want[p] + 1e-9 for p in want)
+    flagged = {p for p, s in want.items() if s >= dec.THRESHOLD}
+    assert flagged and {p for p, s in got.items() if s >= dec.THRESHOLD} == flagged
+    hits = {r["doc_id"]: r["items"] for r in dec.contamination(a, bench).collect()}
+    assert {(i, k) for i, ks in hits.items() for k in ks} == flagged

@@ -82,9 +82,10 @@ def test_prefixes_share_enough():
         common = len(np.intersect1d(x, y))
         if 100 * common < 80 * (len(x) + len(y) - common):
             continue
-        (px, lx), (py, ly) = order.prefix(x, 80), order.prefix(y, 80)
+        (px, lx, _), (py, ly, _) = order.prefix(x, 80), order.prefix(y, 80)
         assert len(np.intersect1d(px, py)) >= min(lx, ly)
-        assert jaccard_join.may_overlap(jaccard_join.bitmap(x), jaccard_join.bitmap(y), len(x), len(y), 80)
+        bits = [np.frombuffer(jaccard_join.bitmap(s), dtype=np.uint64)[None] for s in (x, y)]
+        assert jaccard_join.may_overlap(*bits, np.array([len(x)]), np.array([len(y)]), 80)[0]
 
 
 def test_connected_components(spark):
