@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lakeglass.llm import bpe_codec, decontamination, jaccard_join, language_id, toxicity
 from lakeglass.llm.queries import held_out
-from lakeglass.llm.session import ensure_checkpoint_dir, table
+from lakeglass.llm.session import delete_folder, ensure_checkpoint_dir, materialise, small_keys, table
 
 TOXIC_SCORE = 0.3
 
@@ -25,18 +25,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_row", F.xxhash64("doc_id", "text"))
 
 
-def _keep(docs: DataFrame, decisions: DataFrame, kept) -> DataFrame:
-    """The rows of ``docs`` (with ``_row``) that the decisions on their keys keep, without the key."""
-    good = decisions.groupBy("_row").agg(F.min(kept.cast("int")).alias("_kept")).where("_kept = 1").select("_row")
-    return docs.join(good, "_row", "left_semi").drop("_row")
-
-
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the toxicity network scores at least ``TOXIC_SCORE``."""
+    """Drop documents that the toxicity network scores at least ``TOXIC_SCORE``, in one pass over the texts."""
     net = toxicity.learn(docs.where(~held_out()), table(spark, sf_dir, "labels").where(~held_out()))
-    rows = _keyed(docs)
-    scored = toxicity.score_documents(rows, net, id_col="_row", threshold=TOXIC_SCORE)
-    return _keep(rows, scored, F.col("predicted") == 0)
+    return toxicity.score_documents(docs, net, threshold=TOXIC_SCORE, keep_below=True)
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,29 +37,33 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A low score alone rejects nothing, since short clean texts have low scores.
     """
     model = language_id.learn(docs.where(~held_out()))
-    rows = _keyed(docs)
-    found = language_id.identify(rows, model, id_col="_row")
-    return _keep(rows, found, F.col("lang_pred") != language_id.UNKNOWN)
+    return language_id.identify(docs, model, keep_known=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the row with the smallest id of each group of near copies; a null id comes last.
 
-    Rows without shingles are no copies of each other and are all kept.
+    Rows that agree in id and text are one row.  Rows without shingles are no copies
+    of each other and are all kept.  Only keys are shuffled: the texts of what goes, or
+    occurs more than once, are found by their keys.
     """
-    has_shingles = F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
-    rows = _keyed(docs.where(has_shingles))
-    groups = jaccard_join.jaccard_components(rows, id_col="_row").select("_row", "component_id").distinct()
+    rows = _keyed(docs)
+    found = jaccard_join.jaccard_components(rows, id_col="_row").where("n_shingles > 0")
+    groups = found.groupBy("_row", "component_id").agg(F.count("*").alias("n"))
     ids = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("at")).distinct()
-    first = groups.join(ids, "_row").groupBy("component_id").agg(F.min("at").alias("at")).select("at._row")
-    return rows.dropDuplicates(["_row"]).join(first, "_row", "left_semi").drop("_row").unionByName(docs.where(~has_shingles))
+    members = materialise(groups.join(ids, "_row"))
+    first = members.groupBy("component_id").agg(F.min("at").alias("first"), F.count("*").alias("size")).where("size > 1").select("component_id", "first")
+    removed = small_keys(members.join(first, "component_id").where("at <> first").select("_row"))
+    repeated = small_keys(members.where("n > 1").select("_row").join(removed, "_row", "left_anti"))
+    once = rows.join(removed, "_row", "left_anti").join(repeated, "_row", "left_anti")
+    return once.unionByName(rows.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])).drop("_row")
 
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a copy or an edited copy of a benchmark item."""
     rows = _keyed(docs)
-    judged = decontamination.contamination(rows, table(spark, sf_dir, "benchmark"), id_col="_row")
-    return _keep(rows, judged, ~F.col("contaminated"))
+    judged = decontamination.contaminated_ids(rows, table(spark, sf_dir, "benchmark"), id_col="_row")
+    return rows.join(small_keys(judged.where("contaminated").select("_row")), "_row", "left_anti").drop("_row")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -90,12 +86,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result is written to the shared folder and read again."""
+    """Apply the stages to ``documents``; each result is written to the shared folder and read again.
+
+    The folder of a stage is deleted once the next one is written; the last one stays,
+    since the result reads it.
+    """
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{base}/{i}-{name}")
-        docs = spark.read.parquet(f"{base}/{i}-{name}")
+        folder = f"{base}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        if before is not None:
+            delete_folder(spark, before)
+        docs, before = spark.read.parquet(folder), folder
     return docs
