@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from lakeglass.llm.memo import Memo
+from lakeglass.llm.textbatch import tidy
 
 #: The public byte-level split, with the Unicode white-space property spelled out.
 SPLIT = regex.compile(
@@ -192,4 +193,4 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, *, with_ids: bool = Fals
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = f"`{id_col}` {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)

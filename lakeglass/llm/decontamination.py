@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeglass.llm.session import materialise
-from lakeglass.llm.textbatch import LETTER, Words, blocks, run_hashes
+from lakeglass.llm.textbatch import LETTER, Words, blocks, run_hashes, tidy
 
 SEED = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -207,7 +207,7 @@ def _pieces_of(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([c[3].view(np.int64) for c in cut], pa.list_(pa.int64()))], names=["i", "t", "piece", "whole", "words"])
 
     items = benchmark.select(F.col(item_id).cast("bigint").alias("i"), F.xxhash64(item_text).alias("t"), F.col(item_text).alias("x")).where("i is not null and x is not null")
-    return items.mapInArrow(run, "i bigint, t bigint, piece int, whole bigint, words array<bigint>").dropDuplicates(["i", "t", "piece"])
+    return items.mapInArrow(tidy(run), "i bigint, t bigint, piece int, whole bigint, words array<bigint>").dropDuplicates(["i", "t", "piece"])
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -243,7 +243,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
                     numbers = [pa.array([f[j] for f in found], pa.int64()) for j in (2, 3, 4)]
                     yield pa.RecordBatch.from_arrays([who, *names, *numbers], names=[id_col, "i", "t", "piece", "whole", "points", "first_word", "last_word"])
 
-        found = materialise(source.mapInArrow(scan, schema))
+        found = materialise(source.mapInArrow(tidy(scan), schema))
         seeds.destroy()
         out = out.unionByName(found)
     # Repeated ids: the best of each piece. Then the pieces of a text, then the texts of an item.

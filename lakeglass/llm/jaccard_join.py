@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from lakeglass.llm.components import connected_components
 from lakeglass.llm.session import materialise
-from lakeglass.llm.textbatch import WHITE, Words, blocks, mix, run_hashes
+from lakeglass.llm.textbatch import WHITE, Words, blocks, mix, run_hashes, tidy
 
 SHINGLE = 5
 #: Similarity at least PERCENT / 100.
@@ -185,7 +185,7 @@ def _describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if held:
             yield repeats(held)
 
-    return docs.select(F.col(id_col).cast("bigint"), text_col).mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, bits binary, tokens array<bigint>, counts array<bigint>")
+    return docs.select(F.col(id_col).cast("bigint"), text_col).mapInArrow(tidy(run), "id bigint, n bigint, f1 bigint, f2 bigint, bits binary, tokens array<bigint>, counts array<bigint>")
 
 
 def _prefixes(docs: DataFrame, id_col: str, text_col: str, order: Order, percent: int) -> DataFrame:
@@ -225,7 +225,7 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, order: Order, percent
                     names=["token", "part", "id", "n", "l", "p"],
                 )
 
-    return docs.select(F.col(id_col).cast("bigint"), text_col).where(F.col(id_col).isNotNull()).mapInArrow(run, "token bigint, part tinyint, id bigint, n int, l tinyint, p int")
+    return docs.select(F.col(id_col).cast("bigint"), text_col).where(F.col(id_col).isNotNull()).mapInArrow(tidy(run), "token bigint, part tinyint, id bigint, n int, l tinyint, p int")
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -235,7 +235,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sets = [s.view(np.int64) for s in shingle_sets(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
 
-    return docs.select(F.col(id_col).cast("bigint"), text_col).mapInArrow(run, "id bigint, s array<bigint>")
+    return docs.select(F.col(id_col).cast("bigint"), text_col).mapInArrow(tidy(run), "id bigint, s array<bigint>")
 
 
 def _within_reach(x: str, y: str, percent: int):
@@ -265,7 +265,7 @@ def _may_link(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in (0, 1)], names=["a", "b"])
 
     both = pairs.join(bits.selectExpr("id as a", "n as na", "bits as xa"), "a").join(bits.selectExpr("id as b", "n as nb", "bits as xb"), "b")
-    return both.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a bigint, b bigint").distinct()
+    return both.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(tidy(run), "a bigint, b bigint").distinct()
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, bits: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeglass.llm.session import bounded_sample, fit_remotely
-from lakeglass.llm.textbatch import LETTER, Words, blocks
+from lakeglass.llm.textbatch import LETTER, Words, blocks, tidy
 from lakeglass.llm.wordgrams import distinct, gram_buckets
 
 UNKNOWN = "und"
@@ -36,7 +36,7 @@ EXCLUDED = -40.0
 SAMPLE_DOCS, LEAST_DOCS = 2400, 4
 SAMPLE_BYTES = 16_000_000
 #: Characters labelled together; longer blocks share the steps of the Viterbi pass.
-PREDICT_CHARS = 6_000_000
+PREDICT_CHARS = 3_000_000
 
 # First code point of a range, and its script. Latin until the first, neutral for symbols.
 SCRIPTS = (
@@ -280,6 +280,6 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     if keep_known:
         place = docs.columns.index(text_col)
-        return docs.mapInArrow(keep, docs.schema)
+        return docs.mapInArrow(tidy(keep), docs.schema)
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, lang_pred string, score double")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {id_type}, lang_pred string, score double")

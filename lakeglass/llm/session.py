@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -11,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakeglass.llm.textbatch import tidy
+
 #: Bytes of one row of a fitted model on its way to the driver.
 MODEL_PART = 4_000_000
 
@@ -35,6 +38,19 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage through a table written to the shared checkpoint folder and read again.
+
+    Unlike a checkpoint it carries no inferred constraints along, which grow from round
+    to round of an iteration, and Spark knows its size.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 #: Keys up to this many (16 bytes each) are broadcast to be joined with.
 BROADCAST_KEYS = 1_000_000
 
@@ -95,7 +111,7 @@ def fit_remotely(rows: DataFrame, fit: Callable[[pa.Table], Any]) -> Any:
         for i, part in enumerate(parts):
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part], pa.binary())], names=["part", "data"])
 
-    found = sorted((r["part"], r["data"]) for r in rows.repartition(1).mapInArrow(run, "part int, data binary").collect())
+    found = sorted((r["part"], r["data"]) for r in rows.repartition(1).mapInArrow(tidy(run), "part int, data binary").collect())
     if found:
         return pickle.loads(b"".join(bytes(d) for _, d in found))
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -7,7 +7,9 @@ loop over words.  All hashes are 64 bit and depend only on the bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -125,3 +127,25 @@ def blocks(column: pa.Array | pa.ChunkedArray, block_chars: int = BLOCK_CHARS) -
         size += len(text or "") + 1
     if block:
         yield begin, block
+
+
+def release() -> None:
+    """Give memory that is free back to the system; workers live on between tasks and share a machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function of a partition's batches, which releases memory at its end."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped

@@ -21,6 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from lakeglass.llm.memo import Memo
+from lakeglass.llm.textbatch import tidy
 
 SPACE = "▁"
 #: Space marks with the letters, or with the other characters, that follow them.
@@ -137,4 +138,4 @@ def count_tokens(docs: DataFrame, model_path: str, *, limit: int, id_col: str =
                 names=[id_col, "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {id_type}, n_bytes bigint, n_tokens bigint, over_limit boolean")

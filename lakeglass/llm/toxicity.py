@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeglass.llm.session import bounded_sample, fit_remotely
-from lakeglass.llm.textbatch import LETTER, Words, blocks
+from lakeglass.llm.textbatch import LETTER, Words, blocks, tidy
 from lakeglass.llm.wordgrams import distinct, gram_buckets
 
 WINDOW, STRIDE = 64, 56
@@ -44,6 +44,8 @@ VECTOR_RATE, VECTOR_DECAY = 800.0, 0.04
 KEPT_BACK = 5
 #: Share of the words that training hides behind the shared vector.
 HIDDEN_WORDS = 0.3
+#: The worst window of a document is looked for in one epoch of so many.
+LOOK_EVERY = 3
 #: Windows of a document that is trained on in the first epochs.
 SHORT_WINDOWS, SHORT_EPOCHS = 2, 2
 #: Characters of one training step; small samples are cut into so many steps at least.
@@ -51,7 +53,7 @@ BATCH_CHARS, LEAST_BATCHES = 120_000, 12
 #: Documents of each label that the network is fitted on, and their bytes in all.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 800, 1200, 8_000_000
 #: Characters scored together.
-SCORE_CHARS = 4_000_000
+SCORE_CHARS = 1_500_000
 
 _F = np.float32
 
@@ -373,13 +375,14 @@ def train(texts: list[str], toxic: list[int], *, share: float | None = None, epo
         net.p["out"][:] = 0
         net.p["bias"][0] = 4.0 if n_toxic else -4.0
         return net
-    looked = [net.look_up(b) for b, _ in batches]
+    looked, looked_checks = [net.look_up(b) for b, _ in batches], [net.look_up(b) for b, _ in checks]
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
     weight_toxic = _F(min(n_clean / n_toxic, 3.0))
     epochs = max(epochs, min(MAX_EPOCHS, -(-LEAST_STEPS // len(batches))))
     best: tuple[float, dict[str, np.ndarray]] | None = None
+    chosen: list[np.ndarray] = [np.empty(0, dtype=np.int64)] * len(batches)
     for epoch in range(epochs):
         rate = 0.03 * (1 - epoch / epochs) + 0.002
         for i in rng.permutation(len(batches)):
@@ -394,7 +397,9 @@ def train(texts: list[str], toxic: list[int], *, share: float | None = None, epo
                 if not len(worst):
                     continue
             else:
-                worst = _worst(block, net.logits(block, net.inputs(look)))
+                if (epoch - SHORT_EPOCHS) % LOOK_EVERY == 0:
+                    chosen[i] = _worst(block, net.logits(block))
+                worst = chosen[i]
             target = y[block.owner[worst]].astype(_F)
             _, grads = net.gradients(block, look, worst, target, np.where(target > 0, weight_toxic, _F(1)))
             step += 1
@@ -406,8 +411,8 @@ def train(texts: list[str], toxic: list[int], *, share: float | None = None, epo
                 first[name] = _F(0.9) * first[name] + _F(0.1) * g
                 second[name] = _F(0.99) * second[name] + _F(0.01) * g * g
                 net.p[name] = net.p[name] - _F(rate) * (first[name] / _F(1 - 0.9**step)) / (np.sqrt(second[name] / _F(1 - 0.99**step)) + _F(1e-5))
-        if 2 * epoch >= epochs or epoch == epochs - 1:
-            found = [(net.logits(b), b, y) for b, y in checks]
+        if 2 * epoch >= epochs - 1 and (epochs - 1 - epoch) % 2 == 0:
+            found = [(net.logits(b, net.inputs(look)), b, y) for (b, y), look in zip(checks, looked_checks, strict=True)]
             logit = np.concatenate([v[_worst(b, v)] for v, b, _ in found] or [np.empty(0)]).astype(np.float64)
             y = np.concatenate([y[b.owner[_worst(b, v)]] for v, b, y in found] or [np.empty(0)])
             if not len(y) or y.min() == y.max():
@@ -484,6 +489,6 @@ def score_documents(docs: DataFrame, net: Network, *, id_col: str = "doc_id", te
 
     if keep_below:
         place = docs.columns.index(text_col)
-        return docs.mapInArrow(keep, docs.schema)
+        return docs.mapInArrow(tidy(keep), docs.schema)
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, score double, predicted int")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {id_type}, score double, predicted int")
