@@ -1,179 +1,156 @@
 """Sharding by a k-d tree over document metadata (DataFrame operations only).
 
-The tree is grown level by level.  At each level every open node picks its widest
-metadata dimension (range divided by the range at the root) and is cut at the
-weighted quantile that gives each side its share of the bytes.  The quantile is
-found by distributed histograms: each round sums the bytes of at most ``BINS``
-bins per node and zooms into the bin that holds the cut, until the bin weighs no
-more than the tolerance or is a single value.  A single heavy value (a third of
-all rows may share one) is cut along a hash of the id, so ties never decide
-balance.  The driver sees sums per bin and node only, never rows.
+The tree is grown level by level, all nodes of a level at once, and no node ever
+leaves the executors: rows carry the node they are in.  Every dimension has at most
+``BINS`` places, in the order of its values: powers of two in fine steps for sizes,
+the rank of the value among its distinct values for the others.  At each level one
+histogram of all dimensions gives every node its widest dimension (the range of the
+places, relative to that of the root) and the place where its weighted median lies.
+Rows at that place, a third of all if need be, are cut along a hash: ``PASSES``
+further histograms, each over the hash values of the one cell that holds the cut,
+find it to within ``2 ** -(STEP * PASSES)`` of the cell.  So a level takes a fixed
+number of passes, whatever the values and however many nodes there are.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeglass.llm.session import materialise
+from lakeglass.llm.session import written
+from lakeglass.operators.numbering import number_rows
 
-BINS = 512
-#: A cut may miss its share by this part of one shard's bytes.
-TOLERANCE = 0.0005
+BINS = 4096
+#: Bits of the hash that one pass looks at, and passes; the last tells equal rows apart.
+STEP, PASSES = 16, 2
+#: Steps of the sizes' places per power of two.
+FINE = 64
+#: Distinct values numbered by one task, and broadcast; nodes whose cuts are broadcast.
+FEW_VALUES, FEW_NODES = 100_000, 100_000
 #: Rows numbered by one task when slots are dealt.
 SLOT_ROWS = 100_000
 
 
-@dataclass
-class Node:
-    """A node of the tree: how many shards it holds and, once cut, where."""
-
-    shards: int
-    first: int
-    dim: str | None = None
-    value: int = 0
-    tie: int = 0
-    left: Node | None = None
-    right: Node | None = None
-
-    def shard(self) -> Column:
-        if self.left is None:
-            return F.lit(self.first)
-        return F.when(_below(self.dim, self.value, self.tie), self.left.shard()).otherwise(self.right.shard())
-
-
-def _below(dim: str, value: int, tie: int) -> Column:
-    """Rows left of a cut: a smaller value, or the cut value with a smaller tie-break."""
-    return (F.col(dim) < F.lit(value)) | ((F.col(dim) == F.lit(value)) & (F.col("_tie") < F.lit(tie)))
-
-
-@dataclass
-class _Search:
-    """The search for one node's cut: rows before ``lo`` weigh ``before``."""
-
-    node: Node
-    dim: str
-    target: float
-    tolerance: float
-    lo: int
-    hi: int
-    before: int = 0
-    fixed: int | None = None  # the value whose rows are being cut by tie-break
-    done: bool = False
-
-    @property
-    def key(self) -> str:
-        return self.dim if self.fixed is None else "_tie"
-
-    @property
-    def width(self) -> int:
-        return max(1, math.ceil((self.hi - self.lo + 1) / BINS))
-
-    def zoom(self, bins: dict[int, int]) -> None:
-        """Take the weights of the bins; cut, or zoom into the bin that holds the target."""
-        total = self.before
-        for b in sorted(bins):
-            low, high = self.lo + b * self.width, min(self.hi, self.lo + (b + 1) * self.width - 1)
-            if total + bins[b] < self.target:
-                total += bins[b]
-                continue
-            if bins[b] <= self.tolerance or (low == high and self.fixed is not None):
-                self.cut(low if self.target - total <= total + bins[b] - self.target else high + 1)
-            elif low == high:
-                self.fixed, self.lo, self.hi, self.before = low, 0, 2**63 - 1, total
-            else:
-                self.lo, self.hi, self.before = low, high, total
-            return
-        self.cut(self.hi + 1)
-
-    def cut(self, at: int) -> None:
-        self.done = True
-        self.node.dim = self.dim
-        self.node.value, self.node.tie = (at, 0) if self.fixed is None else (self.fixed, min(at, 2**63 - 1))
-
-
-def kd_tree(meta: DataFrame, dims: list[str], n_shards: int) -> Node:
-    """Grow the tree over ``meta`` (columns ``size``, ``_tie`` and the long dimensions)."""
-    root = Node(n_shards, 0)
-    open_nodes = [root] if n_shards > 1 else []
-    ranges: dict[str, int] | None = None
-    tolerance = 0.0
-    while open_nodes:
-        # Rows of the open nodes only; a node is named by its first shard.
-        at = meta.withColumn("_node", root.shard()).where(F.col("_node").isin([n.first for n in open_nodes]))
-        stats = {
-            r["_node"]: r
-            for r in at.groupBy("_node")
-            .agg(F.sum("size").alias("w"), *[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))])
-            .collect()
-        }
-        if not stats:
-            return root
-        if ranges is None:
-            ranges = {d: max(1, stats[0][f"hi_{d}"] - stats[0][f"lo_{d}"]) for d in dims}
-            tolerance = TOLERANCE * stats[0]["w"] / n_shards
-        searches = []
-        for node in open_nodes:
-            if (s := stats.get(node.first)) is None:
-                continue
-            dim = max(dims, key=lambda d: ((s[f"hi_{d}"] - s[f"lo_{d}"]) / ranges[d], -dims.index(d)))
-            share = (node.shards // 2) / node.shards
-            searches.append(_Search(node, dim, share * s["w"], tolerance, s[f"lo_{dim}"], s[f"hi_{dim}"]))
-        while todo := [s for s in searches if not s.done]:
-            here = F.lit(None).cast("int")
-            for s in todo:
-                inside = (F.col("_node") == s.node.first) & F.col(s.key).between(s.lo, s.hi)
-                if s.fixed is not None:
-                    inside &= F.col(s.dim) == F.lit(s.fixed)
-                here = F.when(inside, F.expr(f"cast((`{s.key}` - {s.lo}) div {s.width} as int)")).otherwise(here)
-            found: dict[int, dict[int, int]] = {}
-            binned = at.withColumn("_bin", here).where("_bin is not null").groupBy("_node", "_bin").agg(F.sum("size").alias("w"))
-            for r in binned.collect():
-                found.setdefault(r["_node"], {})[r["_bin"]] = r["w"]
-            for s in todo:
-                s.zoom(found.get(s.node.first, {}))
-        open_nodes = []
-        for s in searches:
-            half = s.node.shards // 2
-            s.node.left, s.node.right = Node(half, s.node.first), Node(s.node.shards - half, s.node.first + half)
-            open_nodes += [n for n in (s.node.left, s.node.right) if n.shards > 1]
-    return root
+def _ordinals(rows: DataFrame, column: str) -> DataFrame:
+    """``column`` and ``place``: the rank of every distinct value, scaled to ``BINS`` places if there are more."""
+    values = written(rows.select(column).distinct())
+    n = values.count()
+    if n <= FEW_VALUES:
+        ranked = values.withColumn("_at", F.row_number().over(Window.orderBy(column)) - 1)
+    else:
+        ranked = number_rows(values, [column], "_at")
+    place = ranked.select(F.col(column), (F.col("_at") if n <= BINS else F.expr(f"_at * {BINS} div {n}")).cast("int").alias("place"))
+    return F.broadcast(place) if n <= FEW_VALUES else place
+
+
+def coordinates(docs: DataFrame, id_col: str, text_col: str, dims: tuple[str, ...]) -> DataFrame:
+    """Rows ``_id, size, text_crc32, _places, _hash``: places by dimension, and the hash that settles ties."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    size = F.octet_length(text).cast("long") + 8
+    known = [c for c in dims if c in docs.columns]
+    fine = lambda x: F.floor(F.log2(x.cast("double")) * FINE).cast("int")
+    rows = docs.select(
+        F.col(id_col).alias("_id"),
+        size.alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        fine(size).alias("_bytes"),
+        fine(F.length(text) + 1).alias("_chars"),
+        *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_v{i}") for i, c in enumerate(known)],
+    )
+    rows = written(rows.withColumn("_row", F.xxhash64(F.monotonically_increasing_id())))
+    for i in range(len(known)):
+        rows = rows.join(_ordinals(rows, f"_v{i}").withColumnRenamed("place", f"_p{i}"), f"_v{i}")
+    bits = (1 << STEP) - 1
+    tie = F.xxhash64("_id", "text_crc32", "size")
+    steps = [F.shiftrightunsigned(tie if i < PASSES - 1 else F.col("_row"), 64 - STEP * (i + 1)).bitwiseAND(F.lit(bits)).cast("int") for i in range(PASSES)]
+    return written(rows.select("_id", "size", "text_crc32", F.array("_bytes", "_chars", *[f"_p{i}" for i in range(len(known))]).alias("_places"), F.array(*steps).alias("_hash")))
+
+
+def _crossing(cells: DataFrame, key: str, found: str) -> DataFrame:
+    """Of every node's cells ``_node, key, _w, _before, _target`` the one where the sum reaches the target."""
+    upto = Window.partitionBy("_node").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    whole = cells.withColumn("_sum", F.col("_before") + F.sum("_w").over(upto)).withColumn("_last", F.max(key).over(Window.partitionBy("_node")))
+    at = whole.where((F.col("_sum") >= F.col("_target")) | (F.col(key) == F.col("_last")))
+    return at.groupBy("_node").agg(F.min_by(F.struct(F.col(key).alias(found), (F.col("_sum") - F.col("_w")).alias("before"), F.col("_sum").alias("upto"), F.col("_target").alias("target")), key).alias("c")).select("_node", "c.*")
+
+
+def grow(meta: DataFrame, n_shards: int) -> DataFrame:
+    """``meta`` (columns ``size``, ``_places``, ``_hash``) with ``shard``."""
+    rows = meta.withColumn("_node", F.lit(0)).withColumn("_k", F.lit(n_shards))
+    n_dims = F.size("_places")
+    each = F.explode(F.transform(F.sequence(F.lit(0), n_dims - 1), lambda d: F.struct(d.alias("dim"), F.get("_places", d).alias("place"))))
+    span = None
+    for level in range(math.ceil(math.log2(n_shards)) if n_shards > 1 else 0):
+        few = F.broadcast if 1 << level <= FEW_NODES else (lambda df: df)
+        mine = rows.where("_k > 1")
+        bins = mine.select("_node", "_k", "size", each.alias("e")).groupBy("_node", "_k", "e.dim", "e.place").agg(F.sum("size").alias("_w")).repartition("_node")  # a node has BINS rows a dimension at most
+        per = bins.groupBy("_node", "_k", "dim").agg((F.max("place") - F.min("place")).alias("range"), F.sum("_w").alias("_all"))
+        if span is None:
+            # One number for each dimension: the root's ranges.
+            root = {r["dim"]: r["range"] for r in per.collect()}
+            if not root:
+                return rows.withColumn("shard", F.lit(0)).drop("_node", "_k")
+            span = F.array(*[F.lit(float(max(1, root[d]))) for d in sorted(root)])
+        width = F.struct(F.col("range") / F.get(span, F.col("dim")), (-F.col("dim")).alias("order"))
+        widest = per.groupBy("_node", "_k").agg(F.max_by("dim", width).alias("dim"), F.max("_all").alias("_all"))
+        target = F.col("_all") * F.floor(F.col("_k") / 2) / F.col("_k")
+        cells = bins.join(few(widest.select("_node", "dim", target.alias("_target"))), ["_node", "dim"]).withColumn("_before", F.lit(0).cast("long"))
+        # One row for each node; materialised, since what follows uses it more than once.
+        cut = written(_crossing(cells, "place", "place").join(widest.select("_node", "dim"), "_node"))
+        inside = mine.join(few(cut.select("_node", "dim", F.col("place").alias("_cut"), "before", "target")), "_node").where(F.get("_places", F.col("dim")) == F.col("_cut"))
+        found = cut.select("_node", "dim", F.col("place").alias("_cut"))
+        for i in range(PASSES):
+            cells = inside.groupBy("_node", F.get("_hash", F.lit(i)).alias("h")).agg(F.sum("size").alias("_w"), F.max("before").alias("_before"), F.max("target").alias("_target"))
+            here = _crossing(cells, "h", f"_h{i}")
+            if i < PASSES - 1:
+                here = written(here)
+            found = found.join(here.select("_node", f"_h{i}", *(["before", "upto", "target"] if i == PASSES - 1 else [])), "_node")
+            if i < PASSES - 1:
+                narrow = here.select("_node", f"_h{i}", F.col("before").alias("_b"))
+                inside = inside.join(few(narrow), "_node").where(F.get("_hash", F.lit(i)) == F.col(f"_h{i}")).withColumn("before", F.col("_b")).drop("_b", f"_h{i}")
+        # The last cell goes to the side that it makes come out closer.
+        takes = (F.col("target") - F.col("before") > F.col("upto") - F.col("target")).cast("int")
+        found = found.select(F.col("_node").alias("_n"), "dim", "_cut", F.array(*[F.col(f"_h{i}") for i in range(PASSES - 1)], F.col(f"_h{PASSES - 1}") + takes).alias("_at"))
+        place = F.get("_places", F.col("dim"))
+        left = (place < F.col("_cut")) | ((place == F.col("_cut")) & (F.col("_hash") < F.col("_at")))
+        half = F.floor(F.col("_k") / 2).cast("int")
+        there = rows.join(few(found), F.col("_node") == F.col("_n"), "left").withColumn("_left", left)
+        rows = written(
+            there.select(
+                *meta.columns,
+                F.when((F.col("_k") == 1) | F.col("_left"), F.col("_node")).otherwise(F.col("_node") + half).alias("_node"),
+                F.when(F.col("_k") == 1, F.col("_k")).when(F.col("_left"), half).otherwise(F.col("_k") - half).alias("_k"),
+            )
+        )
+    return rows.withColumnRenamed("_node", "shard").drop("_k")
 
 
 def kd_shard(docs: DataFrame, *, n_shards: int | None = None, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """Deal documents into shards of near equal bytes.
 
     Returns one row per input row: the id, ``size`` (UTF-8 bytes plus 8),
-    ``text_crc32``, ``shard``, and ``slot`` (gapless from 0 within the shard, in
-    an order fixed by the ids).  Give ``n_shards`` or ``target_bytes`` of a leaf.
-
-    The dimensions are the checksum of the text, the size, and a code for each
-    column of ``dims`` that the table has.  A null text counts as empty; null ids
-    and null metadata sort as one value; repeated rows stay together only if their
-    ids are equal too, in which case nothing can tell them apart.  An empty table
-    gives an empty result.  Other columns are not looked at, whatever their names.
+    ``text_crc32``, ``shard``, and ``slot`` (gapless from 0 within the shard, by id in
+    shards of up to ``SLOT_ROWS`` rows, in chunks of a hash in larger ones).  Give
+    ``n_shards`` or ``target_bytes`` of a leaf.
+
+    The dimensions are the size in bytes, the number of characters, and each column
+    of ``dims`` that the table has.  A null text counts as empty; a null id is an id
+    like any other, null metadata sort first with the empty string.  Ties are cut along
+    a hash of id, text and size; rows that agree in all three, however many, are told
+    apart by their place in the table, so they neither hold up a cut nor fill a task.
+    A very long text is one row of its size.  An empty table gives an empty result.
+    Other columns are not looked at, whatever their names.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    codes = {f"_d_{i}": F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")) for i, c in enumerate(dims) if c in docs.columns}
-    meta = materialise(
-        docs.select(
-            F.col(id_col).alias("_id"),
-            (F.octet_length(text).cast("long") + 8).alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 1).alias("_tie"),
-            *[c.alias(n) for n, c in codes.items()],
-        )
-    )
+    meta = coordinates(docs, id_col, text_col, dims)
     total = meta.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("w"), F.count("*").alias("n")).first()
     if n_shards is None:
         n_shards = max(1, math.ceil(total["w"] / target_bytes))
-    root = kd_tree(meta, ["text_crc32", "size", *codes], n_shards)
+    dealt = grow(meta, n_shards)
     # Slots: rows are numbered within chunks of a shard, and chunks start where the one before ends.
     chunks = max(1, math.ceil(total["n"] / n_shards / SLOT_ROWS))
-    dealt = meta.select("_id", "size", "text_crc32", "_tie", root.shard().cast("int").alias("shard"), F.pmod(F.col("_tie"), F.lit(chunks)).cast("int").alias("_chunk"))
+    dealt = dealt.withColumn("_chunk", F.pmod(F.xxhash64("_hash"), F.lit(chunks)).cast("int"))
     counts = dealt.groupBy("shard", "_chunk").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

@@ -3,8 +3,8 @@
 Spark's FP-growth mines combinations of URL tokens from labelled pages.  Rules
 ``tokens => bad`` or ``tokens => good`` that pass the support and confidence
 bounds are kept, and a rule is dropped if a rule with fewer of the same tokens is
-at least as sure.  Pages meet rules through an inverted index: token -> rule, and
-a rule fires when all of its tokens were met.
+at least as sure.  Pages meet rules through an inverted index, token -> rule: a rule
+is listed under its rarest token, and fires where the page has the others too.
 """
 
 from __future__ import annotations
@@ -131,18 +131,21 @@ def mine_rules(labelled: DataFrame, *, min_support: float, min_confidence: float
 
 
 def apply_rules(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """For each row of ``key, tokens`` the surest rule that fires (no row where none does)."""
-    index = rules.select("rule_id", "n_tokens", "verdict", "confidence", "support", F.explode("tokens").alias("token"))
-    fired = (
-        token_sets.select("key", F.explode("tokens").alias("token"))
-        .join(index, "token")
-        .groupBy("key", "rule_id", "n_tokens", "verdict", "confidence", "support")
-        .agg(F.count("*").alias("met"))
-        .where("met = n_tokens")
-    )
+    """For each row of ``key, tokens`` the surest rule that fires (no row where none does).
+
+    Frequent tokens (a scheme that every page has) list no rule that has a rarer one,
+    so a page meets few rules that do not fire.
+    """
+    met = token_sets.select("key", "tokens", F.explode("tokens").alias("token"))
+    listed = rules.select("rule_id", F.explode("tokens").alias("token"))
+    # size: tokens of the rules, each on a share min_support of the labelled pages at least
+    often = met.join(F.broadcast(listed.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("often"))
+    rarest = listed.join(often, "token").groupBy("rule_id").agg(F.min_by("token", F.struct("often", "token")).alias("token"))
+    index = rules.join(rarest, "rule_id").select("rule_id", F.col("tokens").alias("wanted"), "verdict", "confidence", "support", "token")
+    fired = met.join(index, "token").where(F.size(F.array_except("wanted", "tokens")) == 0)
     # Surest first; at equal confidence the better supported, then block, then the smaller id.
     best = F.max(F.struct("confidence", "support", F.when(F.col("verdict") == "block", 1).otherwise(0).alias("blocks"), -F.col("rule_id").alias("order"), "verdict", "rule_id"))
-    return fired.groupBy("key").agg(best.alias("best")).select("key", F.col("best.verdict").alias("mined_verdict"), F.col("best.rule_id").alias("mined_rule"), F.col("best.confidence").alias("mined_confidence"))
+    return fired.groupBy("key", "tokens").agg(best.alias("best")).select("key", "tokens", F.col("best.verdict").alias("mined_verdict"), F.col("best.rule_id").alias("mined_rule"), F.col("best.confidence").alias("mined_confidence"))
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, *, rules: Sequence[HostRule] = HOST_RULES, min_support: float = 0.005, min_confidence: float = 0.6, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -155,8 +158,10 @@ def filter_urls(pages: DataFrame, labels: DataFrame, *, rules: Sequence[HostRule
 
     A null url, or one without ``://``, has an empty host and path and is allowed
     unless a mined rule fires.  Empty tables, no labels or no surviving rules give
-    the fixed verdicts and ``allow``.  Repeated rows each get a row.  Only the
-    named columns are read, so other columns cannot clash.
+    the fixed verdicts and ``allow``.  Repeated rows and null ids each get a row; at
+    equal confidence the better supported rule decides, then block, then the smaller
+    rule id.  A very long url is one set of tokens like any other.  Only the named
+    columns are read, so other columns cannot clash.
     """
     url = F.col("_url")
     base = pages.select(F.col(id_col).alias("_page"), F.col(url_col).alias("_url"))
@@ -168,9 +173,9 @@ def filter_urls(pages: DataFrame, labels: DataFrame, *, rules: Sequence[HostRule
     mined = mine_rules(labelled, min_support=min_support, min_confidence=min_confidence)
     # Pages with equal token sets are judged once, so a host with a third of all pages is one row here.
     base = base.withColumn("tokens", tokens).withColumn("key", F.xxhash64("tokens"))
-    sets = base.groupBy("key").agg(F.first("tokens").alias("tokens"))
+    sets = base.select("key", "tokens").distinct()
     hits = materialise(apply_rules(sets, mined))
     name, verdict = match_rules(F.col("host"), F.col("path"), rules)
-    return base.join(hits, "key", "left").select(
+    return base.join(hits, ["key", "tokens"], "left").select(
         F.col("_page").alias(id_col), "host", "path", name.alias("rule"), F.coalesce(verdict, "mined_verdict", F.lit("allow")).alias("verdict"), "mined_rule", "mined_confidence"
     )

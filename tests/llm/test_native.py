@@ -37,6 +37,49 @@ def test_shards_do_not_depend_on_the_order(spark, small):
     assert a == {tuple(r) for r in kd_sharding.kd_shard(docs.repartition(5).orderBy(F.rand(3)), n_shards=7).collect()}
 
 
+def cut_by_hand(rows, first, k, span):
+    """The tree over rows (size, places, hash), cut where the sorted rows' bytes come closest to the share."""
+    if k == 1 or not rows:
+        return {id(r): first for r in rows}
+    ranges = [max(r[1][d] for r in rows) - min(r[1][d] for r in rows) for d in range(len(span))]
+    dim = max(range(len(span)), key=lambda d: (ranges[d] / span[d], -d))
+    order = sorted(rows, key=lambda r: (r[1][dim], r[2]))
+    target, total, at = sum(r[0] for r in rows) * (k // 2) / k, 0, 0
+    while at < len(order) and total + order[at][0] < target:
+        total += order[at][0]
+        at += 1
+    if at < len(order) and target - total > total + order[at][0] - target:
+        at += 1
+    return cut_by_hand(order[:at], first, k // 2, span) | cut_by_hand(order[at:], first + k // 2, k - k // 2, span)
+
+
+def test_tree_like_brute_force(spark, small, odd_docs):
+    for docs, k in ((spark.read.parquet(f"{small}/documents.parquet"), 24), (odd_docs, 5)):
+        meta = kd_sharding.coordinates(docs, "doc_id", "text", ("source", "lang"))
+        rows = [(r["size"], r["_places"], r["_hash"], r["_id"], r["text_crc32"]) for r in meta.collect()]
+        span = [max(1, max(r[1][d] for r in rows) - min(r[1][d] for r in rows)) for d in range(4)]
+        want = cut_by_hand(rows, 0, k, span)
+        got = kd_sharding.grow(meta, k).collect()
+        key = lambda r: (r["_id"], r["text_crc32"], tuple(r["_hash"]), r["shard"])
+        assert sorted(map(key, got)) == sorted((r[3], r[4], tuple(r[2]), want[id(r)]) for r in rows)
+
+
+def test_many_leaves(spark):
+    df = spark.range(0, 40_000, 1, 8).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 97 + 3).cast("int")).alias("text"), F.concat(F.lit("s"), F.col("id") % 5000).alias("source"), F.lit("en").alias("lang"))
+    got = kd_sharding.kd_shard(df, n_shards=2000).groupBy("shard").agg(F.sum("size").alias("w"), F.count("*").alias("n"), F.max("slot").alias("m")).collect()
+    assert len(got) == 2000 and all(r["n"] == r["m"] + 1 for r in got)
+    mean = sum(r["w"] for r in got) / 2000
+    assert max(abs(r["w"] - mean) for r in got) <= 4 * 107
+
+
+def test_hot_and_null_ids_are_cut(spark):
+    rows = [(7, "the same text", "a", "s")] * 3000 + [(None, "x" * (i % 50), None, "s") for i in range(3000)] + [(i, "y" * (i % 90), "b", None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(6)
+    got = kd_sharding.kd_shard(df, n_shards=24).collect()
+    assert len(got) == 9000
+    check_shards(got, 24, 98)
+
+
 def test_target_bytes_and_odd_rows(odd_docs, no_docs):
     got = kd_sharding.kd_shard(odd_docs, target_bytes=60_000).collect()
     assert len(got) == odd_docs.count() and {r["doc_id"]: r["size"] for r in got}[2] == 8
@@ -103,14 +146,47 @@ def scan_by_hand(text, threshold=license_scan.THRESHOLD):
 
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     parts = low.split("\n") + re.sub(r"([.!?;])[^a-z0-9.\n]*[ \t\n\r]", r"\1\n", low).split("\n") + [low]
+    ready = license_scan.prepare()
+
+    def dice(words, t):
+        g = set(license_scan.bigrams(words))
+        return (2.0 * len(g & set(t.bigrams)) / (len(g) + len(t.bigrams)), -t.number, t.license)
+
     found = []
     for part in dict.fromkeys(parts):
-        g = set(license_scan.bigrams(license_scan.normalise(part)))
-        scored = [(2.0 * len(g & set(t.bigrams)) / (len(g) + len(t.bigrams)), -t.number, t.license) for t in license_scan.prepare() if g]
+        words = license_scan.normalise(part)
+        scored = [dice(words, t) for t in ready if len(words) > 1]
+        if scored and max(scored)[0] >= threshold:
+            found.append(max(scored))
+    # Windows: every template is laid over every anchor bigram of the whole text.
+    words, known = license_scan.normalise(low), set(license_scan.anchors(ready))
+    for i in range(len(words) - 1):
+        scored = []
+        for t in ready:
+            for j in range(len(t.words) - 1):
+                if t.words[j : j + 2] == tuple(words[i : i + 2]) and known & set(t.words[j : j + 2]):
+                    scored.append(dice(words[max(0, i - j) : i - j + len(t.words)], t))
         if scored and max(scored)[0] >= threshold:
             found.append(max(scored))
     top = max((f[0] for f in found), default=None)
-    return len(found), sorted({f[2] for f in found}), min((f[2] for f in found if f[0] == top), default=None), top
+    return len({f[1] for f in found}), sorted({f[2] for f in found}), min((f[2] for f in found if f[0] == top), default=None), top
+
+
+def test_wrapped_and_embedded_notices_are_found(spark):
+    calm = "The river runs by the old house and the mill\nand on to the sea. "
+    wrapped = {
+        "Apache-2.0": "Licensed under the Apache License,\n * Version 2.0",
+        "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
+        "GPL-3.0": "This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License version 3",
+        "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+        "Proprietary": "copyright of the mill, all rights reserved by the owner of it",
+    }
+    rows = [(name, calm * 20 + "which is " + text + " as everybody knows who " + calm * 20) for name, text in wrapped.items()]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert {r["doc_id"]: r["licenses"] for r in license_scan.scan(df).collect()} == {name: [name] for name in wrapped}
+    close = "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"
+    got = license_scan.scan(spark.createDataFrame([("a", calm + close + " and " + calm)], "doc_id string, text string")).first()
+    assert got["licenses"] == ["CC-BY-SA-4.0"]
 
 
 def test_licenses_like_brute_force(spark, odd_docs, no_docs):
@@ -125,6 +201,7 @@ def test_licenses_like_brute_force(spark, odd_docs, no_docs):
                 w[rnd.randrange(len(w))] = rnd.choice(["foo", "the", "License", "under"])
             texts.append("intro line\n" + " ".join(w) + rnd.choice([".", "!\n", " ; tail of words"]))
     texts += [None, "", "no license here", "license " * 50, "Of%%% Licensed%%% under*** the&&& Apache%%% License,*** Version%%% 2.0."]
+    texts += ["some words before " + t.replace(" ", "\n", 3) + " and some behind, " + t for _, t in license_scan.TEMPLATES]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     for r in license_scan.scan(df).collect():
         assert (r["n_matches"], r["licenses"], r["best_license"], r["best_dice"]) == scan_by_hand(texts[r["doc_id"]]), texts[r["doc_id"]]
