@@ -48,7 +48,7 @@ PERCENT = 80
 #: The longest prefix extension a document may choose.
 MAX_MATCHES = 6
 #: Shingles that a task holds for counting, and the repeats among them from which one is counted.
-COUNTED_TOGETHER = 4_000_000
+COUNTED_TOGETHER = 2_000_000
 LOCAL_REPEATS = 3
 #: The most frequent shingles that come last in the order; bounds the broadcast to 2 MB.
 FREQUENT = 1 << 17

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are handled in blocks of about this many characters to bound memory.
-BLOCK_CHARS = 3_000_000
+BLOCK_CHARS = 1_500_000
 
 _rng = np.random.default_rng(20_240_607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
