@@ -25,10 +25,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_row", F.xxhash64("doc_id", "text"))
 
 
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` (with ``_row``) but those whose key is in ``gone``; texts stay where they are."""
+    return rows.join(small_keys(gone.select("_row").distinct()), "_row", "left_anti").drop("_row")
+
+
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the toxicity network scores at least ``TOXIC_SCORE``, in one pass over the texts."""
+    """Drop documents that the toxicity network scores at least ``TOXIC_SCORE``."""
     net = toxicity.learn(docs.where(~held_out()), table(spark, sf_dir, "labels").where(~held_out()))
-    return toxicity.score_documents(docs, net, threshold=TOXIC_SCORE, keep_below=True)
+    rows = _keyed(docs)
+    return _without(rows, toxicity.score_documents(rows, net, id_col="_row", threshold=TOXIC_SCORE).where("predicted = 1"))
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +43,8 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A low score alone rejects nothing, since short clean texts have low scores.
     """
     model = language_id.learn(docs.where(~held_out()))
-    return language_id.identify(docs, model, keep_known=True)
+    rows = _keyed(docs)
+    return _without(rows, language_id.identify(rows, model, id_col="_row").where(F.col("lang_pred") == language_id.UNKNOWN))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +70,7 @@ def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Drop documents that hold a copy or an edited copy of a benchmark item."""
     rows = _keyed(docs)
     judged = decontamination.contaminated_ids(rows, table(spark, sf_dir, "benchmark"), id_col="_row")
-    return rows.join(small_keys(judged.where("contaminated").select("_row")), "_row", "left_anti").drop("_row")
+    return _without(rows, judged.where("contaminated"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
