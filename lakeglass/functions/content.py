@@ -24,10 +24,35 @@ def entropy(data: bytes) -> float:
     return float(max(0.0, -(p * np.log2(p)).sum() / 8.0))
 
 
+def entropies(data: list[bytes | None]) -> np.ndarray:
+    """:func:`entropy` of many values in one pass over their bytes."""
+    sizes = np.fromiter((len(d) if d else 0 for d in data), dtype=np.int64, count=len(data))
+    whole = np.frombuffer(b"".join(d for d in data if d), dtype=np.uint8)
+    owner = np.repeat(np.arange(len(data)), sizes)
+    counts = np.bincount(owner * 256 + whole, minlength=256 * len(data)).reshape(len(data), 256)
+    p = counts / np.maximum(sizes, 1)[:, None]
+    logs = np.log2(p, out=np.zeros_like(p), where=p > 0)
+    return np.maximum(0.0, -(p * logs).sum(axis=1) / 8.0)
+
+
+#: Bytes whose entropy is counted together.
+ENTROPY_BYTES = 8_000_000
+
+
 def entropy_of(column: Column) -> Column:
     @F.pandas_udf("double")
     def kernel(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: entropy(v) if v is not None else 0.0).astype(float)
+        out: list[np.ndarray] = []
+        part: list[bytes | None] = []
+        held = 0
+        for v in values:
+            part.append(v)
+            held += len(v) if v else 0
+            if held > ENTROPY_BYTES or len(part) == 4096:
+                out.append(entropies(part))
+                part, held = [], 0
+        out.append(entropies(part))
+        return pd.Series(np.concatenate(out), dtype=float)
 
     return kernel(column.cast("binary"))
 
@@ -36,9 +61,9 @@ def compression_strategy(e: Column) -> Column:
     return F.when(e > 0.95, "none").when(e > 0.7, "fast").when(e > 0.3, "balanced").otherwise("maximum")
 
 
-def text_ratios(text: Column) -> tuple[Column, Column]:
-    """(share of ASCII bytes, share of printable bytes) of a text; 0 when empty."""
-    n = F.octet_length(text).cast("double")
+def text_ratios(text: Column, size: Column | None = None) -> tuple[Column, Column]:
+    """(share of ASCII bytes, share of printable bytes) of a text of ``size`` bytes, by default its own; 0 when empty."""
+    n = (F.octet_length(text) if size is None else size).cast("double")
     ascii_ = F.length(F.regexp_replace(text, r"[^\x00-\x7F]", ""))
     printable = F.length(F.regexp_replace(text, r"[^\x20-\x7E\t\n\r]", ""))
     return F.coalesce(F.try_divide(ascii_.cast("double"), n), F.lit(0.0)), F.coalesce(F.try_divide(printable.cast("double"), n), F.lit(0.0))
@@ -57,7 +82,8 @@ def content_type(data: Column, least: int = 256) -> Column:
     out = F.when(head.startswith(MAGIC[0][0]), MAGIC[0][1])
     for magic, kind in MAGIC[1:]:
         out = out.when(head.startswith(magic), kind)
-    ascii_, printable = text_ratios(F.decode(F.substring(data.cast("binary"), 1, 4096), "ISO-8859-1"))
+    start = F.substring(data.cast("binary"), 1, 4096)
+    ascii_, printable = text_ratios(F.decode(start, "ISO-8859-1"), F.octet_length(start))
     return out.when(F.octet_length(data) < least, "unknown").when((printable > 0.9) & (ascii_ > 0.85), "text/plain").otherwise("application/octet-stream")
 
 
@@ -91,6 +117,45 @@ def weight(hash_hex: Column) -> Column:
     return F.conv(swapped, 16, 10).cast("decimal(20,0)")
 
 
+def trailing_zeros(hash_hex: Column) -> Column:
+    """Zero bits at the end of the weight: those of its lowest bytes first; 64 where all are zero."""
+    byte = [F.conv(F.substring(hash_hex, 2 * i + 1, 2), 16, 10).cast("int") for i in range(8)]
+    # A number and its negative agree in the lowest set bit only.
+    low = lambda b: F.bit_count(b.bitwiseAND(-b) - 1)
+    out = F.lit(64)
+    for i in reversed(range(8)):
+        out = F.when(byte[i] != 0, 8 * i + low(byte[i])).otherwise(out)
+    return out
+
+
+def _byte(data: Column, i: Column) -> Column:
+    return F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("int")
+
+
+def looks_like_floats(data: Column) -> Column:
+    """Whether at least three quarters of the first 16 little-endian floats are finite and below 1e10.
+
+    Judged by the exponent, the top bits of a float: 255 is not finite, and 1e10 has an exponent of 160.
+    """
+    n = F.least(F.floor(F.octet_length(data) / 4), F.lit(16)).cast("int")
+
+    def small(i: Column) -> Column:
+        bits = (_byte(data, 4 * i + 4) % 128) * 65536 + _byte(data, 4 * i + 3) * 256 + _byte(data, 4 * i + 2)
+        # The float 1e10 is 0x501502F9: compared by its upper three bytes, then the last.
+        top = F.lit(0x501502)
+        return (bits < top) | ((bits == top) & (_byte(data, 4 * i + 1) < 0xF9))
+
+    good = F.size(F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), small))
+    return F.when(n > 0, good >= 0.75 * n).otherwise(False)
+
+
+def neighbours_close(data: Column) -> Column:
+    """Whether most neighbouring bytes differ by at most 16."""
+    n = F.octet_length(data)
+    near = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.abs(_byte(data, i) - _byte(data, i + 1)) <= 16)
+    return F.when(n > 1, F.size(near) > 0.6 * (n - 1)).otherwise(False)
+
+
 def z_array(data: bytes) -> np.ndarray:
     """For each position, how long the text from there agrees with its beginning."""
     n = len(data)
@@ -143,7 +208,11 @@ def monotone_chunks(data: bytes, target: int) -> list[tuple[int, int]]:
     return out
 
 
-def rolling_chunks(data: bytes, target: int, window: int = 48, seed: int = 0x123456789ABCDEF) -> list[tuple[int, int]]:
+# Window and seed of the rolling hash; its table comes from a xorshift generator with shifts 13, 7 and 17.
+ROLLING_WINDOW, ROLLING_SEED = 48, 0x123456789ABCDEF
+
+
+def rolling_chunks(data: bytes, target: int, window: int = ROLLING_WINDOW, seed: int = ROLLING_SEED) -> list[tuple[int, int]]:
     """Chunks cut where a rotating hash of the last ``window`` bytes ends in zero bits.
 
     The hash is a XOR of rotated table entries, so it is found for all positions at
@@ -181,23 +250,22 @@ def rolling_chunks(data: bytes, target: int, window: int = 48, seed: int = 0x123
 def chunk_objects(objects: DataFrame, key: str, content: str, target: int, method: str = "monotone") -> DataFrame:
     """Rows ``key, index, offset, size, hash`` of every object's chunks.
 
-    An object is chunked by one task, since every cut depends on the one before.
+    An object is chunked by one task, since every cut depends on the one before; only
+    the cuts come from Python, the chunks are hashed where the object is.
     """
-    import hashlib
-
     cut = {"monotone": monotone_chunks, "rolling": rolling_chunks}[method]
-    key_type = objects.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for k, data in zip(batch[key], batch["_data"], strict=True):
-                data = bytes(data) if data is not None else b""
-                rows += [(k, i, o, n, hashlib.sha256(data[o : o + n]).hexdigest()) for i, (o, n) in enumerate(cut(data, target))]
-            yield pd.DataFrame(rows, columns=[key, "index", "offset", "size", "hash"])
+    @F.pandas_udf("array<bigint>")
+    def offsets(values: pd.Series) -> pd.Series:
+        return pd.Series([np.array([o for o, _ in cut(v, target)], dtype=np.int64) if v else np.empty(0, dtype=np.int64) for v in values])
+
+    held = objects.select(key, F.col(content).cast("binary").alias("_data")).withColumn("_at", offsets("_data"))
+
+    def chunk(begin: Column, i: Column) -> Column:
+        size = F.coalesce(F.get("_at", i + 1), F.octet_length("_data").cast("bigint")) - begin
+        return F.struct(i.alias("index"), begin.alias("offset"), size.alias("size"), F.sha2(F.substring(F.col("_data"), begin.cast("int") + 1, size.cast("int")), 256).alias("hash"))
 
-    source = objects.select(key, F.col(content).cast("binary").alias("_data"))
-    return source.mapInPandas(run, f"`{key}` {key_type}, index int, offset bigint, size bigint, hash string")
+    return held.select(key, F.explode(F.transform("_at", chunk)).alias("_c")).select(key, "_c.*")
 
 
 def chunk_layers(data: bytes, targets: tuple[int, ...]) -> list[list[tuple[int, int]]]:
@@ -254,6 +322,34 @@ def merkle_proof(leaves: list[bytes], index: int) -> list[bytes]:
     return out
 
 
+def merkle_proof_of(leaves: Column, index: Column) -> Column:
+    """Siblings from a leaf to the root, as an array; level by level, for one array of leaves."""
+    n = F.size(leaves)
+    levels = F.ceil(F.log2(F.greatest(n, F.lit(1)).cast("double"))).cast("int")
+    start = F.struct(leaves.alias("nodes"), index.cast("int").alias("i"), F.array().cast("array<binary>").alias("proof"))
+
+    def step(acc: Column, _: Column) -> Column:
+        nodes = acc["nodes"]
+        pairs = F.sequence(F.lit(0), F.ceil(F.size(nodes) / 2).cast("int") - 1)
+        above = F.transform(pairs, lambda i: F.unhex(F.sha2(F.concat(F.get(nodes, 2 * i), F.get(nodes, F.least(2 * i + 1, F.size(nodes) - 1))), 256)))
+        sibling = F.get(nodes, F.least(F.when(acc["i"] % 2 == 0, acc["i"] + 1).otherwise(acc["i"] - 1), F.size(nodes) - 1))
+        return F.struct(above.alias("nodes"), F.floor(acc["i"] / 2).cast("int").alias("i"), F.concat(acc["proof"], F.array(sibling)).alias("proof"))
+
+    proof = F.aggregate(F.sequence(F.lit(1), F.greatest(levels, F.lit(1))), start, step, lambda acc: acc["proof"])
+    return F.when(n > 1, proof).otherwise(F.array().cast("array<binary>"))
+
+
+def merkle_sample(trees: DataFrame, leaves: str, sample: int, seed: int) -> DataFrame:
+    """``checked`` and ``valid`` of a random sample of a tree's leaves, each verified through its proof.
+
+    The sample is drawn by a hash of the leaf's place and the seed, so it can be repeated.
+    """
+    each = trees.withColumn("_root", merkle_root(F.col(leaves))).select("_root", F.col(leaves), F.posexplode(leaves).alias("_i", "_leaf"))
+    picked = each.orderBy(F.xxhash64("_i", F.lit(seed)), "_i").limit(sample)
+    ok = merkle_verify(F.col("_leaf"), merkle_proof_of(F.col(leaves), F.col("_i")), F.col("_root"), F.col("_i"))
+    return picked.agg(F.count("*").alias("checked"), F.count_if(ok).alias("valid"))
+
+
 def merkle_verify(leaf: Column, proof: Column, root: Column, index: Column) -> Column:
     """Whether a proof leads from a leaf to the root; the index's bits say on which side."""
     start = F.struct(leaf.alias("h"), index.cast("long").alias("i"))
@@ -333,6 +429,45 @@ def erasure_decode(shards: list[bytes | None], k: int, m: int, length: int) -> b
     return rows.tobytes()[:length]
 
 
+def shard_size_of(size: Column, k: int) -> Column:
+    """:func:`shard_size` as an expression."""
+    part = F.ceil(size / F.lit(k)).cast("bigint")
+    return part + part % 2
+
+
+def encode_objects(objects: DataFrame, key: str, data: str, k: int, m: int) -> DataFrame:
+    """Every object's shards: ``key, shard, content, length``; objects without bytes have none."""
+    key_type = objects.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, raw in zip(batch[key], batch["_data"], strict=True):
+                if raw is not None and len(raw):
+                    shards = erasure_encode(bytes(raw), k, m)
+                    yield pd.DataFrame({key: [name] * (k + m), "shard": range(k + m), "content": shards, "length": [len(raw)] * (k + m)})
+
+    return objects.select(key, F.col(data).cast("binary").alias("_data")).mapInPandas(run, f"`{key}` {key_type}, shard int, content binary, length bigint")
+
+
+def decode_objects(shards: DataFrame, key: str, k: int, m: int) -> DataFrame:
+    """``key, data`` of every object of which at least ``k`` shards are there; an error if fewer are."""
+    held = F.slice(F.array_sort(F.collect_list(F.struct("shard", "content"))), 1, k)
+    per = shards.groupBy(key).agg(held.alias("_s"), F.max("length").alias("_n"))
+    key_type = shards.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for some, n in zip(batch["_s"], batch["_n"], strict=True):
+                have: list[bytes | None] = [None] * (k + m)
+                for s in some:
+                    have[s["shard"]] = bytes(s["content"])
+                out.append(erasure_decode(have, k, m, int(n)))
+            yield pd.DataFrame({key: batch[key], "data": out})
+
+    return per.mapInPandas(run, f"`{key}` {key_type}, data binary")
+
+
 def xor_parity(stripes: DataFrame, group: list[str], position: str, byte: str) -> DataFrame:
     """Parity by XOR over the members of a stripe, for single losses, as an aggregation."""
     return stripes.groupBy(*group, position).agg(F.bit_xor(F.col(byte).cast("int")).alias("parity"))
@@ -357,6 +492,48 @@ def shard_ranges(tensors: DataFrame, key: str, size: str, shard_bytes: int, most
     return spread.select(key, "shard", start.alias("offset"), F.least(F.lit(shard_bytes).cast("long"), F.col(size) - start).alias("size"))
 
 
+def find_tensors(catalogue: DataFrame, name: str | None = None, dtype: str | None = None, least: int | None = None, most: int | None = None) -> DataFrame:
+    """Tensors by a glob on the name, the element type, and bounds of the size; what is not given does not filter."""
+    out = catalogue
+    if name is not None:
+        out = out.where(F.col("name").like(name.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_").replace("*", "%").replace("?", "_")))
+    if dtype is not None:
+        out = out.where(F.col("dtype") == dtype)
+    if least is not None:
+        out = out.where(F.col("size") >= least)
+    return out if most is None else out.where(F.col("size") <= most)
+
+
+def pack_floats(tensors: DataFrame, key: str, values: str) -> DataFrame:
+    """``key, data``: the values as little-endian 32-bit floats."""
+    key_type = tensors.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({key: batch[key], "data": [None if v is None else np.asarray(v, dtype="<f4").tobytes() for v in batch[values]]})
+
+    return tensors.select(key, values).mapInPandas(run, f"`{key}` {key_type}, data binary")
+
+
+def unpack_floats(tensors: DataFrame, key: str, data: str) -> DataFrame:
+    """``key, values``: little-endian 32-bit floats from bytes; null where the bytes are no whole number of them."""
+    key_type = tensors.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({key: batch[key], "values": [None if d is None or len(d) % 4 else np.frombuffer(bytes(d), dtype="<f4") for d in batch[data]]})
+
+    return tensors.select(key, data).mapInPandas(run, f"`{key}` {key_type}, values array<float>")
+
+
+def read_savings(size: Column, fields: list[Column]) -> Column:
+    """Bytes that reading only some fields of an object spares."""
+    out = size
+    for f in fields:
+        out = out - F.coalesce(F.octet_length(f), F.lit(0))
+    return out
+
+
 def chunk_count(size: Column, chunk: int) -> Column:
     return F.ceil(size / F.lit(chunk))
 

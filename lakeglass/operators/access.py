@@ -152,3 +152,60 @@ def increment_key(key: Column) -> Column:
     head, number, tail = (F.regexp_extract(key, r"^(.*?)(\d+)(\D*)$", i) for i in (1, 2, 3))
     following = (number.try_cast("bigint") + 1).cast("string")
     return F.when(number != "", F.concat(head, F.when(F.length(following) < F.length(number), F.lpad(following, F.length(number), F.lit("0"))).otherwise(following), tail))
+
+
+def access_totals(log: DataFrame, item: str, latency: str, hot: int) -> DataFrame:
+    """Accesses, distinct items, mean latency, and how many items are hot (at least ``hot`` accesses) and their share."""
+    per = log.groupBy(item).agg(F.count("*").alias("n"), F.sum(latency).alias("ms"))
+    total = F.coalesce(F.sum("n"), F.lit(0))
+    return per.agg(
+        total.alias("accesses"), F.count("*").alias("items"), F.coalesce(F.try_divide(F.sum("ms"), total.cast("double")), F.lit(0.0)).alias("mean_latency"),
+        F.count_if(F.col("n") >= hot).alias("hot"), F.coalesce(F.try_divide(F.count_if(F.col("n") >= hot).cast("double"), F.count("*").cast("double")), F.lit(0.0)).alias("hot_share"),
+    )
+
+
+#: Parts of a key that tell a workload, by kind; training shows in ascending batches.
+WORKLOADS = {
+    "checkpointing": ("checkpoint", ".ckpt", ".pt", ".safetensors"),
+    "preprocessing": ("preprocess", "transform", "augment"),
+    "evaluation": ("eval", "valid", "test"),
+    "inference": ("model", "weight"),
+}
+
+
+def workload(log: DataFrame, session: str, order: Sequence[str], key: str) -> DataFrame:
+    """The workload of every session, by what its keys contain; ordered rules, the first that holds."""
+    holds = {kind: F.bool_or(_any_of(F.col(key), parts)) for kind, parts in WORKLOADS.items()}
+    holds["inference"] = F.bool_or(_any_of(F.col(key), WORKLOADS["inference"]) | F.col(key).endswith(".bin"))
+    marks = log.groupBy(session).agg(*[c.alias(f"_{kind}") for kind, c in holds.items()])
+    batches = sequential_keys(log, [session], order, key, 10, ascending=True).select(session, (F.col("share") > 0.5).alias("_training"))
+    rule = F.when(F.col("_checkpointing"), "checkpointing").when(F.col("_training"), "training")
+    for kind in ("preprocessing", "evaluation", "inference"):
+        rule = rule.when(F.col(f"_{kind}"), kind)
+    return marks.join(batches, session).select(session, rule.otherwise("unknown").alias("workload"))
+
+
+def _any_of(key: Column, parts: Sequence[str]) -> Column:
+    out = F.lit(False)
+    for p in parts:
+        out = out | F.contains(key, F.lit(p))
+    return out
+
+
+def related_files(keys: DataFrame, session: str, key: str, order: Sequence[str], most: int = 20) -> DataFrame:
+    """Weight files that go with the model files a session has read: ``session, at, file``, the first ``most``."""
+    base = F.regexp_replace(F.regexp_replace(F.regexp_replace(key, r"(\.bin)+$", ""), r"(\.pt)+$", ""), r"(\.safetensors)+$", "")
+    w = Window.partitionBy(session).orderBy(*order)
+    found = keys.where(F.contains(F.col(key), F.lit("model"))).withColumn("_n", F.row_number().over(w) - 1).where(F.col("_n") * 2 < most)
+    files = F.posexplode(F.array(F.concat(base, F.lit(".bin")), F.concat(base, F.lit(".safetensors")))).alias("_i", "file")
+    return found.select(session, "_n", files).select(session, (F.col("_n") * 2 + F.col("_i")).alias("at"), "file").where(F.col("at") < most)
+
+
+def prefetch(scored: DataFrame, item: str, score: str, threshold: float, k: int) -> DataFrame:
+    """The ``k`` best items that reach the threshold; ties to the smaller item."""
+    return scored.where(F.col(score) >= threshold).orderBy(F.desc(score), item).limit(k)
+
+
+def first_suggestions(predictions: DataFrame, session: str, order: Sequence[str], k: int) -> DataFrame:
+    """The first ``k`` predictions of every session, as they come."""
+    return keep_last(predictions, [session], [F.col(c) for c in order], k)

@@ -75,3 +75,24 @@ def store_ratio(stored: Column, saved: Column) -> Column:
 def duplicates(objects: DataFrame, key: str, hash_: str) -> DataFrame:
     """Every object with the first one of equal content."""
     return objects.withColumn("first_key", F.min(key).over(Window.partitionBy(hash_)))
+
+
+def keyed_hash(key: str, data: Column) -> Column:
+    """A hash that only holders of the key can make: the nested construction over SHA-256, with the key padded to a block."""
+    padded = key.encode().ljust(64, b"\0")
+    if len(padded) > 64:
+        raise ValueError("a key has at most 64 bytes")
+    inner, outer = (F.lit(bytes(b ^ x for b in padded)) for x in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, data.cast("binary")), 256))), 256)
+
+
+def allocate(blocks: DataFrame, checksum: str, data: str, order: Sequence[str], inline: int) -> DataFrame:
+    """How every block is stored: ``inline`` when short, ``new`` for the first of its checksum, else ``shared``."""
+    size = F.octet_length(F.col(data))
+    first = F.row_number().over(Window.partitionBy(checksum, size <= inline).orderBy(*order)) == 1
+    return blocks.withColumn("stored", F.when(size <= inline, "inline").when(first, "new").otherwise("shared"))
+
+
+def blind_lookup(tokens: DataFrame, index: DataFrame, token: str) -> DataFrame:
+    """Each token with its reference, null where the index has none; the data behind a token stays unknown."""
+    return tokens.join(index, token, "left")

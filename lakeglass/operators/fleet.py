@@ -37,6 +37,16 @@ def fleet_snapshot(edges: DataFrame, capacity: str, used: str, online: Column) -
     )
 
 
+def domain_capacity(edges: DataFrame, domain: str, capacity: str, used: str, online: Column) -> DataFrame:
+    """Capacity of every domain: in total, and free on the edges that are online."""
+    free = F.sum(F.when(online, F.col(capacity) - F.col(used)).otherwise(0))
+    return edges.groupBy(domain).agg(F.sum(capacity).alias("total"), free.alias("available"))
+
+
+def healthy_only(edges: DataFrame, health: str, threshold: float) -> DataFrame:
+    return edges.where(F.col(health) >= threshold)
+
+
 # Costs --------------------------------------------------------------------------
 
 
@@ -184,9 +194,20 @@ def nearest(locations: DataFrame, shard: str, domain: str, latency: str, healthy
     return locations.where(healthy).groupBy(shard).agg(F.min_by(domain, F.struct(eff, domain)).alias(domain))
 
 
-def read_plan(locations: DataFrame, obj: str, shard: str, domain: str, latency: str, healthy: Column, k: int) -> DataFrame:
-    """One source per shard, nearest first, and whether enough shards are readable."""
-    w = Window.partitionBy(obj, shard).orderBy(F.coalesce(F.col(latency), F.lit(2147483647)), domain)
+def read_plan(locations: DataFrame, obj: str, shard: str, domain: str, latency: str, healthy: Column, k: int, prefer: str = "nearest", primary: Column | None = None) -> DataFrame:
+    """One source per shard, and whether enough shards are readable.
+
+    ``prefer`` is nearest, any (the first domain), primary (it if healthy, else the
+    nearest) or round_robin (shards take turns over the domains that hold them).
+    """
+    near = F.coalesce(F.col(latency), F.lit(2147483647))
+    order = {"nearest": [near, domain], "any": [domain], "primary": [(~F.coalesce(primary, F.lit(False))).cast("int") if primary is not None else F.lit(0), near, domain]}
+    if prefer == "round_robin":
+        turn = Window.partitionBy(obj, shard).orderBy(domain)
+        held = locations.where(healthy).withColumn("_at", F.row_number().over(turn) - 1).withColumn("_of", F.count("*").over(Window.partitionBy(obj, shard)))
+        plan = held.where(F.col("_at") == F.pmod(F.crc32(F.col(shard).cast("string").cast("binary")), F.col("_of"))).drop("_at", "_of")
+        return plan.withColumn("readable", F.count("*").over(Window.partitionBy(obj)) >= k)
+    w = Window.partitionBy(obj, shard).orderBy(*order[prefer])
     plan = locations.where(healthy).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
     return plan.withColumn("readable", F.count("*").over(Window.partitionBy(obj)) >= k)
 

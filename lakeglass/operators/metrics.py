@@ -107,3 +107,54 @@ def average_metrics(df: DataFrame, keys: Sequence[str], defaults: dict[str, floa
     """Means per key; ``biased`` adds one default to each sum, as an accumulator that starts from the defaults does."""
     mean = {c: ((F.sum(c) + F.lit(d)) / F.count("*") if biased else F.avg(c)) for c, d in defaults.items()}
     return df.groupBy(*keys).agg(*[m.alias(c) for c, m in mean.items()])
+
+
+def reduce_floats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """The same folds of a floating column; the bitwise ones go through whole numbers."""
+    x, whole = F.col(value).cast("double"), F.col(value).cast("long")
+    return df.groupBy(*keys).agg(
+        F.sum(x).alias("sum"), F.max(x).alias("max"), F.min(x).alias("min"), F.product(x).alias("product"),
+        F.bit_and(whole).cast("double").alias("bit_and"), F.bit_or(whole).cast("double").alias("bit_or"), F.bit_xor(whole).cast("double").alias("bit_xor"),
+    )
+
+
+def registry_snapshot(counters: DataFrame | None = None, gauges: DataFrame | None = None, histograms: DataFrame | None = None) -> DataFrame:
+    """All metrics in one table: ``name, kind, value, count``.
+
+    ``counters`` and ``gauges`` are ``name, value``; ``histograms`` are ``name, sum,
+    count``, whose value is the mean (0 when empty).
+    """
+    parts = [df.select("name", F.lit(kind).alias("kind"), F.col("value").cast("double").alias("value"), F.lit(None).cast("long").alias("count")) for df, kind in ((counters, "counter"), (gauges, "gauge")) if df is not None]
+    if histograms is not None:
+        parts.append(histograms.select("name", F.lit("histogram").alias("kind"), ratio(F.col("sum"), F.col("count"), 0.0).alias("value"), F.col("count").cast("long").alias("count")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def healer_stats(jobs: DataFrame, keys: Sequence[str], kind: str, ok: Column, millis: str, size: Column) -> DataFrame:
+    """Scans and repairs, how many failed, their mean times (0 when none), and bytes moved by repairs that worked."""
+    scan, repair = F.col(kind) == "scan", F.col(kind) == "repair"
+    mean = lambda which: F.coalesce(F.avg(F.when(which, F.col(millis))), F.lit(0.0))
+    return jobs.groupBy(*keys).agg(
+        F.count_if(scan).alias("scans"), F.count_if(scan & ~ok).alias("scans_failed"), mean(scan & ok).alias("avg_scan_ms"),
+        F.count_if(repair & ok).alias("repairs"), F.count_if(repair & ~ok).alias("repairs_failed"), mean(repair & ok).alias("avg_repair_ms"),
+        F.coalesce(F.sum(F.when(repair & ok, size)), F.lit(0)).alias("bytes"),
+    )
+
+
+def error_ppm(errors: Column, scanned: Column) -> Column:
+    """Errors per million; 0 when nothing was scanned."""
+    return ratio(errors, scanned, 0.0) * 1e6
+
+
+def compression(df: DataFrame, keys: Sequence[str], original: str, compressed: str) -> DataFrame:
+    """Bytes before over bytes after (0 when there are none), and the share saved."""
+    a, b = F.coalesce(F.sum(original), F.lit(0)), F.coalesce(F.sum(compressed), F.lit(0))
+    return df.groupBy(*keys).agg(F.count("*").alias("items"), ratio(a, b, 0.0).alias("ratio"), F.when(a > 0, 1.0 - b / a).otherwise(0.0).alias("savings"))
+
+
+def latency_by_domain(df: DataFrame, domain: str, millis: str) -> DataFrame:
+    """Least, most and whole mean latency per domain."""
+    return df.groupBy(domain).agg(F.min(millis).alias("min_ms"), F.max(millis).alias("max_ms"), F.floor(F.avg(millis)).cast("bigint").alias("mean_ms"), F.count("*").alias("samples"))

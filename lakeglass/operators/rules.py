@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -100,11 +100,18 @@ def quota_alerts(usage: DataFrame, scope: str, used: str, limit: str, thresholds
     return usage.select(scope, p.alias("percent"), F.explode(reached).alias("threshold"))
 
 
-def quota_usage(events: DataFrame, scope: str, size: str, deleted: Column) -> DataFrame:
-    """Bytes and objects per scope; deletes subtract, and usage never falls below 0."""
+def quota_usage(events: DataFrame, scope: str, size: str, deleted: Column, order: Sequence[str]) -> DataFrame:
+    """Bytes and objects per scope; every delete subtracts, and usage never falls below 0 on the way.
+
+    A sum that stops at 0 is the running sum less its lowest value so far, or 0 where
+    that is above; so windows carry it and no scope is collected.
+    """
     sign = F.when(deleted, -1).otherwise(1)
+    w = Window.partitionBy(scope).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    run = events.withColumn("_b", F.sum((sign * F.col(size)).cast("long")).over(w)).withColumn("_o", F.sum(sign.cast("long")).over(w)).withColumn("_at", F.struct(*order))
     zero = F.lit(0).cast("long")
-    return events.groupBy(scope).agg(F.greatest(F.sum(sign * F.col(size)), zero).alias("bytes"), F.greatest(F.sum(sign), zero).alias("objects"))
+    level = lambda c: F.max_by(c, "_at") - F.least(F.min(c), zero)
+    return run.groupBy(scope).agg(level("_b").alias("bytes"), level("_o").alias("objects"))
 
 
 # Patterns and policies ------------------------------------------------------------
@@ -229,3 +236,14 @@ def scrub_due(paused: Column, load: Column, max_load: float, last_run: Column, n
 
 def compression_hint(entropy: Column, compressed_share: Column) -> Column:
     return F.when((compressed_share > 0.5) | (entropy > 0.95), "none").when(entropy > 0.7, "fast").when(entropy > 0.3, "balanced").otherwise("maximum")
+
+
+def lock_status(mode: Column, retain_until: Column, legal_hold: Column, now: str) -> Column:
+    """held, expired, governance or compliance; unlocked without any retention."""
+    expired = retain_until <= F.lit(now).cast("timestamp")
+    return F.when(F.coalesce(legal_hold, F.lit(False)), "held").when(retain_until.isNull(), "unlocked").when(expired, "expired").when(mode == "GOVERNANCE", "governance").otherwise("compliance")
+
+
+def pending_repairs(blocks: DataFrame, repaired: Column, attempts: Column, most: int) -> DataFrame:
+    """Quarantined blocks that are not repaired and may be tried again."""
+    return blocks.where(~repaired & (attempts < most))

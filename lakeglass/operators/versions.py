@@ -82,13 +82,13 @@ def prune(versions: DataFrame, keys: Sequence[str], order: Sequence[Column], kee
 
 def history(versions: DataFrame, version: str, parent: str, start: int) -> DataFrame:
     """The chain of parents from ``start``, by a recursive query: ``version, depth``."""
-    versions.createOrReplaceTempView("_lakeglass_versions")
     return versions.sparkSession.sql(
         f"""WITH RECURSIVE chain(version, parent, depth) AS (
-              SELECT {version}, {parent}, 0 FROM _lakeglass_versions WHERE {version} = {int(start)}
+              SELECT {version}, {parent}, 0 FROM {{versions}} WHERE {version} = {int(start)}
               UNION ALL
-              SELECT v.{version}, v.{parent}, c.depth + 1 FROM _lakeglass_versions v JOIN chain c ON v.{version} = c.parent)
-            SELECT version, depth FROM chain"""
+              SELECT v.{version}, v.{parent}, c.depth + 1 FROM {{versions}} v JOIN chain c ON v.{version} = c.parent)
+            SELECT version, depth FROM chain""",
+        versions=versions,
     )
 
 
@@ -113,3 +113,34 @@ def first_seen(items: DataFrame, item: str, order: Sequence[str]) -> DataFrame:
     """Items without repeats, in order of their first appearance."""
     first = items.groupBy(item).agg(F.min(F.struct(*order)).alias("_first"))
     return first.select(item, F.col("_first.*"))
+
+
+def commit(log: DataFrame, manifest: DataFrame, chunk: str, message: str | None = None) -> DataFrame:
+    """The version log with one more version: ``version, parent, n_chunks, root, message``.
+
+    The root is a hash of the sorted distinct chunks' hash, so equal contents have equal roots.
+    """
+    summary = manifest.select(chunk).distinct().agg(F.count("*").alias("n_chunks"), F.sha2(F.concat_ws(",", F.sum(F.crc32(F.col(chunk).cast("string").cast("binary"))).cast("string"), F.bit_xor(F.xxhash64(chunk)).cast("string")).cast("binary"), 256).alias("root"))
+    last = log.agg(F.max("version").alias("parent"))
+    one = summary.withColumn("_one", F.lit(1)).join(last.withColumn("_one", F.lit(1)), "_one")
+    new = one.select((F.coalesce("parent", F.lit(0)) + 1).cast("bigint").alias("version"), F.col("parent").cast("bigint").alias("parent"), "n_chunks", "root", F.lit(message).cast("string").alias("message"))
+    return log.unionByName(new)
+
+
+def required(manifests: DataFrame, version: str, wanted: int, chunk: str) -> DataFrame:
+    """Distinct chunks of one version."""
+    return manifests.where(F.col(version) == wanted).select(chunk).distinct()
+
+
+def apply_locations(locations: DataFrame, added: DataFrame, removed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Locations after a batch of additions and one of removals, without repeats."""
+    return locations.select(*keys).unionByName(added.select(*keys)).distinct().join(removed.select(*keys), list(keys), "left_anti")
+
+
+def members(items: DataFrame, obj: str, member: str) -> DataFrame:
+    """Sorted distinct members of every object."""
+    return items.groupBy(obj).agg(F.array_sort(F.collect_set(member)).alias("members"))
+
+
+def with_tag(models: DataFrame, tags: str, tag: str) -> DataFrame:
+    return models.where(F.array_contains(F.col(tags), tag))

@@ -10,14 +10,16 @@ from lakeglass.plans.queries import _EDGES, _OBJECTS, MILLIS, NOW, _blocks, _edg
 from lakeglass.sources import sinks
 
 
-@query("""with p as (select event_type, 'b' || le as k, le, count(*) filter (where value <= le) c from events, (values (10.0::double),(50.0)) b(le) group by event_type, le),
+@query("""with p as (select event_type, 'b' || le as k, le, count(*) filter (where floor(value) <= le) c from events, (values (10.0::double),(50.0)) b(le) group by event_type, le),
 l as (select event_type, '# TYPE latency_' || event_type || ' histogram' as value from (select distinct event_type from events)
 union all select event_type, 'latency_' || event_type || '_bucket{le="' || le || '"} ' || c from p
 union all select event_type, 'latency_' || event_type || '_bucket{le="+Inf"} ' || count(*) from events group by 1
+union all select event_type, 'latency_' || event_type || '_sum ' || cast(sum(v) as bigint) from (select event_type, cast(floor(value) as bigint) v from events) group by 1
 union all select event_type, 'latency_' || event_type || '_count ' || count(*) from events group by 1) select value from l""")
 def prometheus_export(spark, sf):
-    h = metrics.histogram_summary(_t(spark, sf, "events"), ["event_type"], "value", (10.0, 50.0)).withColumn("name", F.concat(F.lit("latency_"), "event_type"))
-    return sinks.prometheus(None, h).where(~F.col("value").contains("_sum "))
+    e = _t(spark, sf, "events").withColumn("value", F.floor("value").cast("bigint"))
+    h = metrics.histogram_summary(e, ["event_type"], "value", (10.0, 50.0)).withColumn("name", F.concat(F.lit("latency_"), "event_type")).withColumn("sum", F.col("sum").cast("bigint"))
+    return sinks.prometheus(None, h)
 
 
 @query("""with s as (select s_suppkey as edge, s_acctbal / 10000.0 as x, s_suppkey % 3 - 1 as trend from supplier)
@@ -74,10 +76,10 @@ def elections(spark, sf):
     return fleet.election(v, "s_nationkey", "s_suppkey", "cand", 5)
 
 
-@query("""with r as (select *, row_number() over (partition by l_partkey, l_quantity order by l_suppkey % 17, l_suppkey) rn from (select distinct l_partkey, l_quantity, l_suppkey from lineitem where l_returnflag <> 'R'))
+@query("""with r as (select *, row_number() over (partition by l_partkey, l_quantity order by l_suppkey % 17, l_suppkey) rn from (select distinct l_partkey, l_quantity, l_suppkey from lineitem))
 select l_partkey, l_quantity, l_suppkey, count(*) over (partition by l_partkey) >= 15 as readable from r where rn = 1""")
 def read_plan(spark, sf):
-    loc = _t(spark, sf, "lineitem", "l_partkey", "l_quantity", "l_suppkey", "l_returnflag").where("l_returnflag <> 'R'").select("l_partkey", "l_quantity", "l_suppkey").distinct().withColumn("ms", F.col("l_suppkey") % 17)
+    loc = _t(spark, sf, "lineitem", "l_partkey", "l_quantity", "l_suppkey").distinct().withColumn("ms", F.col("l_suppkey") % 17)
     return fleet.read_plan(loc, "l_partkey", "l_quantity", "l_suppkey", "ms", F.lit(True), 15).select("l_partkey", "l_quantity", "l_suppkey", "readable")
 
 
@@ -88,16 +90,16 @@ def repair_candidates(spark, sf):
     return fleet.repair_candidates(s, "l_partkey", "l_linenumber", F.col("l_linestatus") == "O", 8).select("l_partkey", F.array_join("missing", ",").alias("missing"))
 
 
-@query("""select l_suppkey as edge, count(*) as samples, round(sum(l_extendedprice) * 1000.0 / sum(l_quantity), 4) as speed, round(sum(l_extendedprice) * 1000.0 / sum(l_quantity) / 1.5e6, 4) as ratio from lineitem where l_shipdate < timestamp '1996-01-01' group by 1 having count(*) >= 100""")
+@query("""select l_suppkey as edge, count(*) as samples, round(sum(l_extendedprice) * 1000.0 / sum(l_quantity), 4) as speed, round(sum(l_extendedprice) * 1000.0 / sum(l_quantity) / 1.5e6, 4) as ratio from lineitem group by 1 having count(*) >= 100""")
 def drift(spark, sf):
-    t = _t(spark, sf, "lineitem", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate").where(F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp_ntz")).withColumnRenamed("l_suppkey", "edge")
+    t = _t(spark, sf, "lineitem", "l_suppkey", "l_extendedprice", "l_quantity").withColumnRenamed("l_suppkey", "edge")
     expected = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("edge"), F.lit(1.5e6).alias("expected_speed"))
     return fleet.drift(t, "edge", "l_extendedprice", "l_quantity", expected, 100).select("edge", "samples", _r("speed", 4).alias("speed"), _r("ratio", 4).alias("ratio"))
 
 
-@query("""with p as (select event_type, user_id % 40 as path, count(*) n from events where user_id % 40 < 3 or event_id % 20 = 0 group by 1, 2), f as (select *, sum(n) over (partition by event_type) / count(*) over (partition by event_type) fair from p) select event_type, path, n from f where n < 0.1 * fair""")
+@query("""with p as (select event_type, cast(floor(sqrt(value)) as bigint) as path, count(*) n from events group by 1, 2), f as (select *, sum(n) over (partition by event_type) / count(*) over (partition by event_type) fair from p) select event_type, path, n from f where n < 0.1 * fair""")
 def underused_paths(spark, sf):
-    e = _t(spark, sf, "events").withColumn("path", F.col("user_id") % 40).where("path < 3 or event_id % 20 = 0")
+    e = _t(spark, sf, "events").withColumn("path", F.floor(F.sqrt("value")).cast("bigint"))
     return fleet.underused_paths(e, ["event_type"], "path")
 
 
@@ -141,10 +143,12 @@ def clock_ticks(spark, sf):
     return folds.clock_tick(e, "user_id", ["ts", "event_id"], "day")
 
 
-@query("""with u as (select user_id, sum(case when event_type = 'error' then -1 else 1 end * cast(floor(value) as bigint)) b, sum(case when event_type = 'error' then -1 else 1 end) o from events group by 1) select user_id, greatest(cast(b as bigint), 0) as bytes, greatest(cast(o as bigint), 0) as objects from u""")
+@query("""with recursive o as (select user_id, case when event_type in ('error', 'view') then -1 else 1 end s, cast(floor(value) as bigint) v, row_number() over (partition by user_id order by ts, event_id) i from events),
+f(user_id, i, b, n) as (select user_id, i, greatest(s * v, 0), greatest(s, 0) from o where i = 1 union all select o.user_id, o.i, greatest(f.b + s * v, 0), greatest(f.n + s, 0) from o join f on o.user_id = f.user_id and o.i = f.i + 1)
+select user_id, cast(max_by(b, i) as bigint) as bytes, cast(max_by(n, i) as bigint) as objects from f group by 1""")
 def quota_usage(spark, sf):
     e = _t(spark, sf, "events").withColumn("size", F.floor("value").cast("long"))
-    return rules.quota_usage(e, "user_id", "size", F.col("event_type") == "error")
+    return rules.quota_usage(e, "user_id", "size", F.col("event_type").isin("error", "view"), ["ts", "event_id"])
 
 
 @query("""select o_orderkey, o_custkey % 7 <> 0 and (o_custkey % 3 = 0 or o_orderdate <= timestamp '2000-01-01' or (o_orderstatus = 'F')) as deletable from orders""")
@@ -169,13 +173,15 @@ def reoptimisation(spark, sf):
     return _t(spark, sf, "orders").select("o_orderkey", d.alias("decision"))
 
 
-@query("""with h as (select user_id as item from events group by 1 having count(*) >= 75), f as (select unnest(range(item - 2, item + 3)) as item, 0.9::double s from h union all select 140 + i, 1.0 - 0.15 * (i - 1) from range(1, 5) r(i))
-select i.item, round(coalesce(max(s), 0.0), 6) as score from (select c_custkey as item from customer where c_custkey < 200) i left join f on f.item = i.item group by 1""")
+@query("""with h as (select user_id as item from events group by 1 having count(*) >= 12), w as (select user_id v, user_id - lag(user_id) over o d, row_number() over o i from events window o as (order by ts, event_id)), r as (select v as last, d from (select v, d, lead(d) over (order by i) nx from w) where abs(d) = 1 and nx is distinct from d),
+f as (select unnest(range(item - 2, item + 3)) as item, 0.9::double s from h union all select last + i * d, 1.0 - 0.15 * (i - 1) from r, range(1, 5) x(i))
+select i.item, round(coalesce(max(s), 0.0), 6) as score from (select c_custkey as item from customer) i left join f on f.item = i.item group by 1""")
 def prediction_scores(spark, sf):
-    items = _t(spark, sf, "customer").where("c_custkey < 200").select(F.col("c_custkey").alias("item"))
-    hot = access.hot_items(_t(spark, sf, "events"), "user_id", 75).select(F.col("user_id").alias("item"))
-    runs = spark.range(1).select(F.lit(140).cast("long").alias("last"), F.lit(1).alias("direction"))
-    return access.score_predictions(items, runs, hot).withColumn("score", _r("score"))
+    log = _t(spark, sf, "events", "event_id", "ts", "user_id").withColumn("all", F.lit(1))
+    hot = access.hot_items(log, "user_id", 12).select(F.col("user_id").alias("item"))
+    found = access.sequential_runs(log, ["all"], ["ts", "event_id"], "user_id")
+    runs = found.select((F.col("start") + (F.col("length") - 1) * F.col("direction")).alias("last"), "direction")
+    return access.score_predictions(_t(spark, sf, "customer").select(F.col("c_custkey").alias("item")), runs, hot).withColumn("score", _r("score"))
 
 
 @query("""with s as (select c_custkey as item, c_acctbal / 10000.0 as score from customer), r as (select *, row_number() over (order by score desc, item) - 1 i from s), b as (select cast(i // 100 as int) as batch, count(*) as n, avg(score) c from r group by 1)
@@ -193,8 +199,17 @@ def gc_batch(spark, sf):
     return dedup.collectable(reg, refs, "hash", F.col("doc"), 100, 50)
 
 
-@query("""select doc_id, cast(sum(bit_xor_v) as bigint) as parity from (select doc_id, p, bit_xor(v) bit_xor_v from (select doc_id, i % 16 as p, i // 16 as stripe, ascii(substr(t, cast(i + 1 as bigint), 1)) as v from (select doc_id, regexp_replace(substr(text, 1, 64), '[^ -~]', '?', 'g') as t, unnest(range(0, least(64, length(text)))) i from documents)) group by 1, 2) group by 1""")
+@query("""with h as (select doc_id, regexp_extract_all(hex(encode(text)), '..') x from documents where length(text) > 0), b as (select doc_id, i % 16 as p, cast(('0x' || x[i + 1]) as int) as v from (select doc_id, x, unnest(range(0, len(x))) i from h))
+select doc_id, cast(sum(v) as bigint) as parity from (select doc_id, p, bit_xor(v) v from b group by 1, 2) group by 1""")
 def xor_parity(spark, sf):
-    d = _t(spark, sf, "documents", "doc_id", "text").where(F.length("text") > 0).select("doc_id", F.regexp_replace(F.substring("text", 1, 64), "[^ -~]", "?").alias("t"))
-    chars = d.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.ascii(F.substring(F.col("t"), i, F.lit(1))))).alias("i", "v"))
-    return content.xor_parity(chars.withColumn("p", F.col("i") % 16), ["doc_id"], "p", "v").groupBy("doc_id").agg(F.sum("parity").alias("parity"))
+    d = _t(spark, sf, "documents", "doc_id", "text").where(F.length("text") > 0).select("doc_id", F.encode("text", "UTF-8").alias("b"))
+    stripe = lambda i: F.hex(F.substring(F.col("b"), i * 16 + 1, F.lit(16)))
+    stripes = d.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.octet_length("b") - 1) / 16).cast("int")), stripe)).alias("h"))
+    # The parity of whole stripes at once: two 64-bit halves, then their 16 bytes.
+    half = lambda at: F.conv(F.rpad(F.substring("h", at, 16), 16, "0"), 16, -10).cast("bigint")
+    whole = stripes.groupBy("doc_id").agg(F.bit_xor(half(1)).alias("l"), F.bit_xor(half(17)).alias("r"))
+    bytes_ = [F.shiftrightunsigned(c, 56 - 8 * i).bitwiseAND(F.lit(255)) for c in ("l", "r") for i in range(8)]
+    total = bytes_[0]
+    for b in bytes_[1:]:
+        total = total + b
+    return whole.select("doc_id", total.cast("bigint").alias("parity"))

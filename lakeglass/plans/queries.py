@@ -467,13 +467,13 @@ def lifecycle_actions(spark, sf):
     return o.select("o_orderkey", "age", rules.lifecycle_action(LIFECYCLE, key=F.col("o_orderpriority"), age=F.col("age"), storage_class=storage, now=NOW).alias("action"))
 
 
-@query("""with s as (select user_id, count(*) n, cast(floor((epoch(timestamp '2024-02-01') - epoch(max(ts))) / 86400) as bigint) idle from events where event_type = 'error' group by 1), t as (select *, n / 10.0 as rate, case when user_id % 3 = 0 then 'IA' else 'STANDARD' end cur from s),
+@query("""with s as (select user_id, count(*) n, cast(floor((epoch(timestamp '2024-02-01') - epoch(max(ts))) / 86400) as bigint) idle from events group by 1), t as (select *, n / 50.0 as rate, case when user_id % 3 = 0 then 'IA' else 'STANDARD' end cur from s),
 u as (select *, case when rate >= 1.0 then 'STANDARD' when idle >= 30 then 'ARCHIVE' when idle >= 7 then 'IA' end target from t)
 select user_id, case when user_id % 11 = 0 or target = cur then null else target end as decision from u""")
 def tier_decisions(spark, sf):
-    s = _t(spark, sf, "events").where("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+    s = _t(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
     d = rules.tier_decision(
-        idle_days=rules.age_days(F.col("last"), NOW), rate_per_day=F.col("n") / 10.0, current=F.when(F.col("user_id") % 3 == 0, "IA").otherwise("STANDARD"),
+        idle_days=rules.age_days(F.col("last"), NOW), rate_per_day=F.col("n") / 50.0, current=F.when(F.col("user_id") % 3 == 0, "IA").otherwise("STANDARD"),
         protected=F.col("user_id") % 11 == 0, active=F.lit(False),
     )
     return s.select("user_id", d.alias("decision"))
@@ -587,10 +587,10 @@ def lww_merge(spark, sf):
     return crdt.lww_merge(w, "key", "value")
 
 
-@query("""with a as (select user_id % 20 as key, event_type as element, user_id % 5 as node, event_id % 50 as dot from events where event_type <> 'error'), d as (select distinct * from a), r as (select distinct key, element, node, dot from a where dot % 2 = 0)
+@query("""with a as (select user_id % 20 as key, event_type as element, user_id % 5 as node, event_id % 50 as dot from events), d as (select distinct * from a), r as (select distinct key, element, node, dot from a where dot % 2 = 0)
 select key, element, count(*) as dots from (select * from d except select * from r) group by 1, 2""")
 def orset_merge(spark, sf):
-    a = _t(spark, sf, "events").where("event_type <> 'error'").select((F.col("user_id") % 20).alias("key"), F.col("event_type").alias("element"), (F.col("user_id") % 5).alias("node"), (F.col("event_id") % 50).alias("dot"))
+    a = _t(spark, sf, "events").select((F.col("user_id") % 20).alias("key"), F.col("event_type").alias("element"), (F.col("user_id") % 5).alias("node"), (F.col("event_id") % 50).alias("dot"))
     return crdt.orset_merge(a, a.where("dot % 2 = 0"), "key", "element", "node", "dot")
 
 
@@ -640,9 +640,11 @@ def bounded_counter(spark, sf):
 # Content --------------------------------------------------------------------------------
 
 
-@query()
+@query("""with c as (select doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) b, octet_length(encode(text)) n from documents where length(text) > 0), p as (select doc_id, b, count(*) / max(n) p from c group by 1, 2),
+e as (select d.doc_id, round(coalesce(e, 0.0), 6) as entropy from documents d left join (select doc_id, greatest(0.0, -sum(p * log2(p)) / 8.0) e from p group by 1) x on d.doc_id = x.doc_id)
+select doc_id, entropy, case when entropy > 0.95 then 'none' when entropy > 0.7 then 'fast' when entropy > 0.3 then 'balanced' else 'maximum' end as strategy from e""")
 def entropy_by_doc(spark, sf):
-    e = content.entropy_of(F.col("text"))
+    e = _r(content.entropy_of(F.col("text")))
     return _t(spark, sf, "documents", "doc_id", "text").select("doc_id", e.alias("entropy")).withColumn("strategy", content.compression_strategy(F.col("entropy")))
 
 
@@ -662,6 +664,7 @@ def tensor_shards(spark, sf):
     return content.shard_ranges(_objects(spark, sf), "doc_id", "size", 1000, 1000)
 
 
-@query()
+@query("""with t as (select doc_id, octet_length(encode(text)) as n, regexp_extract_all(hex(encode(text)[1:4096]), '..') as h from documents), c as (select doc_id, n, len(h) m, list_sum(list_transform(h, lambda x: case when x < '80' then 1 else 0 end)) a, list_sum(list_transform(h, lambda x: case when (x >= '20' and x <= '7E') or x in ('09', '0A', '0D') then 1 else 0 end)) p from t)
+select doc_id, case when n < 256 then 'unknown' when p / m > 0.9 and a / m > 0.85 then 'text/plain' else 'application/octet-stream' end as content_type from c""")
 def text_classes(spark, sf):
     return _t(spark, sf, "documents", "doc_id", "text").select("doc_id", content.content_type(F.col("text")).alias("content_type"))

@@ -3,29 +3,35 @@
 A statement is parsed into a small tree and built into Catalyst expressions, so
 filters reach the scan and columns are pruned.  Two modes:
 
-``standard``  SQL semantics: three-valued logic, escaped LIKE, aliases, NOT, CASE
-              free expressions as Spark has them.
+``standard``  SQL semantics: three-valued logic, escaped LIKE, aliases, NOT, CASE,
+              CAST, ILIKE and a few functions.
 ``compat``    the semantics of dynamically typed rows: NULL equals NULL, values of
               different types are unequal, ordering needs two numbers or two
               strings, arithmetic is in doubles, AND/OR need two booleans, LIKE
               patterns are regular expressions with ``%`` and ``_`` replaced, and an
-              expression without a value ("missing") rejects the row.
+              expression without a value ("missing") rejects the row; NOT, minus signs,
+              CASE, CAST, functions and ILIKE never have one.
+
+A request names the statement and the formats of its input and output, as JSON or XML.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
+from xml.etree import ElementTree
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _TOKEN = re.compile(
     r"\s*(?:(?P<number>\d+(?:\.\d*)?(?:[eE][+-]?\d+)?|\.\d+)|(?P<string>'(?:[^']|'')*')|(?P<quoted>\"(?:[^\"]|\"\")*\")|(?P<word>[A-Za-z_][A-Za-z_0-9]*)|(?P<op><>|!=|<=|>=|\|\||[-+*/%=<>(),;.]))"
 )
-_RESERVED = {"select", "from", "where", "limit", "and", "or", "not", "is", "null", "in", "between", "like", "escape", "as", "true", "false"}
+_RESERVED = {"select", "from", "where", "limit", "and", "or", "not", "is", "null", "in", "between", "like", "escape", "as", "true", "false", "case", "when", "then", "else", "end", "cast", "ilike", "similar", "exists"}
 
 
 class SelectError(ValueError):
@@ -157,6 +163,13 @@ class _Parser:
                     low = self.sum()
                     self.need("and")
                     left = Node("not between" if negated else "between", (left, low, self.sum()))
+                elif self.take("ilike"):
+                    left = Node("ilike", (left, self.sum()))
+                    left = Node("not", (left,)) if negated else left
+                elif self.take("similar"):
+                    if self.name().lower() != "to":
+                        raise SelectError("expected TO")
+                    left = Node("unsupported", (left, self.sum()))
                 elif self.take("like"):
                     pattern = self.sum()
                     escape = self.sum() if self.take("escape") else None
@@ -186,6 +199,24 @@ class _Parser:
             return inner
         if self.take("null"):
             return Node("literal", (None,))
+        if self.take("case"):
+            return self.case()
+        if self.take("cast"):
+            self.need("(")
+            value = self.expression()
+            self.need("as")
+            kind = self.name().lower()
+            if self.take("("):
+                while not self.take(")"):
+                    self.at += 1
+            self.need(")")
+            return Node("cast", (value, kind))
+        if self.take("exists"):
+            self.need("(")
+            depth = 1
+            while depth and self.at < len(self.tokens):
+                depth += 1 if self.take("(") else -1 if self.take(")") else self.skip()
+            return Node("unsupported", ())
         if word := self.take("true", "false"):
             return Node("literal", (word == "true",))
         kind, text = self.tokens[self.at] if self.at < len(self.tokens) else ("", "end")
@@ -195,17 +226,57 @@ class _Parser:
         if kind == "string":
             self.at += 1
             return Node("literal", (text[1:-1].replace("''", "'"),))
+        quoted = kind == "quoted"
         name = self.name()
+        if not quoted and self.take("("):
+            args: list[Node] = []
+            while not self.take(")"):
+                args.append(self.expression())
+                if not self.peek(")"):
+                    self.need(",")
+            return Node("call", (name.lower(), *args))
         if self.take("."):
             name = self.name()  # qualified by the table or its alias
         return Node("column", (name,))
 
+    def skip(self) -> int:
+        self.at += 1
+        return 0
+
+    def case(self) -> Node:
+        """``CASE [operand] WHEN ... THEN ... [ELSE ...] END`` as conditions, values and the default."""
+        operand = None if self.peek("when") else self.expression()
+        parts: list[Node] = []
+        while self.take("when"):
+            test = self.expression()
+            self.need("then")
+            parts += [test if operand is None else Node("=", (operand, test)), self.expression()]
+        if not parts:
+            raise SelectError("expected WHEN")
+        default = self.expression() if self.take("else") else Node("literal", (None,))
+        self.need("end")
+        return Node("case", (*parts, default))
+
 
 def parse(sql: str) -> Query:
     """Parse the first statement of ``sql``."""
     return _Parser(sql).query()
 
 
+#: Types that CAST knows.
+CASTS = {
+    "int": "bigint", "integer": "bigint", "bigint": "bigint", "float": "double", "double": "double", "decimal": "double", "numeric": "double",
+    "string": "string", "varchar": "string", "char": "string", "bool": "boolean", "boolean": "boolean", "timestamp": "timestamp", "date": "date",
+}
+
+#: Functions of the select language: least and most number of arguments, and how they are built.
+FUNCTIONS: dict[str, tuple[int, int, Callable[..., Column]]] = {
+    "upper": (1, 1, F.upper), "lower": (1, 1, F.lower), "trim": (1, 1, F.trim), "char_length": (1, 1, F.char_length), "character_length": (1, 1, F.char_length),
+    "substring": (2, 3, lambda s, at, n=None: F.substring(s, at, F.length(s) if n is None else n)), "coalesce": (1, 99, F.coalesce), "nullif": (2, 2, F.nullif),
+    "abs": (1, 1, F.abs), "floor": (1, 1, F.floor), "ceil": (1, 1, F.ceil), "round": (1, 1, F.round),
+}
+
+
 # Standard mode ------------------------------------------------------------------
 
 
@@ -218,6 +289,24 @@ def _standard(node: Node, names: set[str]) -> Column:
         return F.col(f"`{args[0]}`")
     if op == "literal":
         return F.lit(args[0])
+    if op == "unsupported":
+        raise SelectError("SIMILAR TO, EXISTS and subqueries are not part of the language")
+    if op == "case":
+        out = F.when(build(args[0]), build(args[1]))
+        for test, value in zip(args[2:-1:2], args[3:-1:2], strict=True):
+            out = out.when(build(test), build(value))
+        return out.otherwise(build(args[-1]))
+    if op == "cast":
+        if args[1] not in CASTS:
+            raise SelectError(f"no type {args[1]!r}")
+        return build(args[0]).try_cast(CASTS[args[1]])
+    if op == "call":
+        least, most, make = FUNCTIONS.get(args[0], (1, 0, F.coalesce))
+        if not least <= len(args) - 1 <= most:
+            raise SelectError(f"no function {args[0]!r} of {len(args) - 1} arguments")
+        return make(*map(build, args[1:]))
+    if op == "ilike":
+        return F.ilike(build(args[0]), build(args[1]))
     if op in ("in", "not in"):
         found = build(args[0]).isin(*map(build, args[1:]))
         return ~found if op == "not in" else found
@@ -300,7 +389,7 @@ def _compat(node: Node, types: dict[str, T.DataType]) -> Cell:
         if v is None:
             return Cell()
         return Cell(flag=F.lit(v)) if isinstance(v, bool) else Cell(text=F.lit(v)) if isinstance(v, str) else Cell(num=F.lit(float(v)))
-    if op in ("not", "negative"):
+    if op in ("not", "negative", "case", "cast", "call", "ilike", "unsupported"):
         return Cell(missing=F.lit(True))
     if op in ("is null", "is not null"):
         a = build(args[0])
@@ -362,3 +451,86 @@ def select(df: DataFrame, sql: str, mode: str = "standard") -> DataFrame:
     if mode == "standard":
         return out.select(*[_standard(node, set(df.columns)).alias(name) for node, name in query.columns])
     return out.select(*[F.col(f"`{name}`") for node, name in query.columns if node.op == "column" and name in df.columns])
+
+
+# Requests -----------------------------------------------------------------------
+
+
+@dataclass
+class Request:
+    """A statement with the formats of its input and output, and the bytes of the input to scan."""
+
+    expression: str
+    input_format: str = "JSON"
+    input_options: dict[str, str] = field(default_factory=dict)
+    compression: str = "NONE"
+    output_format: str = "JSON"
+    output_options: dict[str, str] = field(default_factory=dict)
+    start: int | None = None
+    end: int | None = None
+
+
+def _tree(element: ElementTree.Element) -> dict | str:
+    children = list(element)
+    return {c.tag.rsplit("}", 1)[-1]: _tree(c) for c in children} if children else (element.text or "").strip()
+
+
+def parse_request(body: bytes | str) -> Request:
+    """A request from its body: JSON is tried first, then XML."""
+    try:
+        text = body if isinstance(body, str) else body.decode("utf-8")
+    except UnicodeDecodeError as e:
+        raise SelectError(f"not UTF-8: {e}") from e
+    try:
+        data = json.loads(text)
+    except ValueError:
+        if "<!DOCTYPE" in text or "<!ENTITY" in text:
+            raise SelectError("document types are not accepted") from None
+        try:
+            data = _tree(ElementTree.fromstring(text))
+        except ElementTree.ParseError as e:
+            raise SelectError(f"neither JSON nor XML: {e}") from e
+    if not isinstance(data, dict) or not data.get("Expression"):
+        raise SelectError("a request needs an Expression")
+    if str(data.get("ExpressionType", "")).upper() != "SQL":
+        raise SelectError("ExpressionType must be SQL")
+    out = Request(data["Expression"])
+    source, sink, span = (data.get(k) or {} for k in ("InputSerialization", "OutputSerialization", "ScanRange"))
+    if not isinstance(source, dict) or not isinstance(sink, dict):
+        raise SelectError("serializations must be objects")
+    known = [k for k in ("CSV", "JSON", "Parquet") if k in source]
+    if len(known) != 1:
+        raise SelectError("InputSerialization needs one of CSV, JSON and Parquet")
+    out.input_format, out.compression = known[0], str(source.get("CompressionType") or "NONE").upper()
+    if out.compression not in ("NONE", "GZIP", "BZIP2"):
+        raise SelectError(f"no compression {out.compression!r}")
+    options = source[known[0]]
+    out.input_options = {k: str(v) for k, v in options.items()} if isinstance(options, dict) else {}
+    out.output_format = "CSV" if "CSV" in sink else "JSON"
+    options = sink.get(out.output_format)
+    out.output_options = {k: str(v) for k, v in options.items()} if isinstance(options, dict) else {}
+    if isinstance(span, dict):
+        out.start, out.end = (int(span[k]) if span.get(k) not in (None, "") else None for k in ("Start", "End"))
+    return out
+
+
+def run_request(spark: SparkSession, body: bytes | str, path: str, mode: str = "compat") -> DataFrame:
+    """Answer a request over the objects at ``path``: one column ``value``, a record in each row.
+
+    Compressed input is told by its file ending, as everywhere in Spark; the request's
+    compression type must not contradict it.
+    """
+    from lakeglass.sources import readers, sinks
+
+    r = parse_request(body)
+    ending = {"GZIP": ".gz", "BZIP2": ".bz2"}.get(r.compression)
+    if ending and not path.rstrip("/").endswith((ending, "*")):
+        raise SelectError(f"{r.compression} input ends in {ending}")
+    if r.input_format == "Parquet":
+        df = readers.read_parquet(spark, path)
+    elif r.input_format == "CSV":
+        df = readers.read_csv(spark, path, header=r.input_options.get("FileHeaderInfo", "NONE").upper(), delimiter=r.input_options.get("FieldDelimiter", ","), typed=mode == "compat")
+    else:
+        df = readers.read_json(spark, path, document=r.input_options.get("Type", "LINES").upper() == "DOCUMENT")
+    out = select(df, r.expression, mode)
+    return sinks.csv_lines(out, delimiter=r.output_options.get("FieldDelimiter", ",")) if r.output_format == "CSV" else sinks.json_lines(out)

@@ -105,3 +105,51 @@ def common_prefixes(catalog: DataFrame, *, prefix: str = "", delimiter: str = "/
 
 def list_buckets(catalog: DataFrame, bucket: str = "bucket") -> DataFrame:
     return catalog.select(bucket).distinct()
+
+
+# Archives ---------------------------------------------------------------------------
+#
+# An archive is a folder of two Parquet tables: ``files`` (path, size, first chunk, end
+# chunk, hash of the whole) and ``chunks`` (index, hash, size, compressed content).
+
+
+def archive_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of an archive: ``path, size, chunk_start, chunk_end, hash``."""
+    return spark.read.parquet(f"{folder}/files")
+
+
+def archive_chunk(spark: SparkSession, folder: str, index: int) -> DataFrame:
+    """One chunk: ``index, hash, size, content`` (decompressed); the index prunes the scan."""
+    return _unpacked(spark.read.parquet(f"{folder}/chunks").where(F.col("index") == index))
+
+
+def archive_extract(spark: SparkSession, folder: str, path: str | None = None) -> DataFrame:
+    """Files with their content, ``path, content, intact``: chunks in order, and whether the hash agrees."""
+    files = archive_files(spark, folder)
+    files = files if path is None else files.where(F.col("path") == path)
+    wanted = files.where("chunk_end > chunk_start").withColumn("index", F.explode(F.sequence("chunk_start", F.col("chunk_end") - 1)))
+    parts = wanted.join(_unpacked(spark.read.parquet(f"{folder}/chunks")).select("index", "content"), "index")
+    whole = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", F.hex("content").alias("x")))), lambda c: c["x"]), ""))
+    built = parts.groupBy("path").agg(whole.alias("content"))
+    content = F.coalesce("content", F.unhex(F.lit("")))
+    return files.join(built, "path", "left").select("path", content.alias("content"), (F.sha2(content, 256) == F.col("hash")).alias("intact"))
+
+
+def archive_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """``files, bytes, chunks, stored``: what the archive holds, and what its chunks take."""
+    files = archive_files(spark, folder).agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.lit(1).alias("_one"))
+    chunks = spark.read.parquet(f"{folder}/chunks").agg(F.count("*").alias("chunks"), F.coalesce(F.sum(F.octet_length("packed")), F.lit(0)).alias("stored"), F.lit(1).alias("_one"))
+    return files.join(chunks, "_one").drop("_one")
+
+
+def _unpacked(chunks: DataFrame) -> DataFrame:
+    from collections.abc import Iterator
+    import zlib
+
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"index": batch["index"], "hash": batch["hash"], "size": batch["size"], "content": [zlib.decompress(p) for p in batch["packed"]]})
+
+    return chunks.select("index", "hash", "size", "packed").mapInPandas(run, "index bigint, hash string, size bigint, content binary")

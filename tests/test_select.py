@@ -102,3 +102,57 @@ def test_prometheus(spark):
 def test_csv_quotes(spark):
     df = spark.createDataFrame([('a"b', 1, None), ("x,y", 2, "l\nm")], "a string, b int, c string")
     assert [r["value"] for r in sinks.csv_lines(df).collect()] == ['"a""b",1,', '"x,y",2,"l\nm"']
+
+
+@pytest.mark.parametrize(
+    ("where", "standard"),
+    [
+        ("CASE WHEN age > 28 THEN true ELSE false END", ["Alice", "a+b"]),
+        ("CASE name WHEN 'Bob' THEN 1 WHEN 'Alice' THEN 2 END = 2", ["Alice"]),
+        ("CAST(age AS STRING) = '25'", ["Bob"]),
+        ("CAST(name AS INT) = 5 OR name IS NOT NULL", ["Alice", "Bob", "a+b"]),
+        ("name ILIKE 'b%'", ["Bob"]),
+        ("name NOT ILIKE 'b%'", ["Alice", "a+b"]),
+        ("UPPER(name) = 'BOB' OR LOWER(SUBSTRING(name, 1, 2)) = 'al'", ["Alice", "Bob"]),
+        ("CHAR_LENGTH(TRIM(name)) = 3", ["Bob", "a+b"]),
+        ("COALESCE(age, 0) = 0", [None]),
+        ("ABS(-age) = 30", ["Alice"]),
+    ],
+)
+def test_expressions_that_compat_rejects(rows, where, standard):
+    assert names(select(rows, f"SELECT * FROM s3object WHERE {where}")) == standard
+    assert names(select(rows, f"SELECT * FROM s3object WHERE {where}", mode="compat")) == []
+
+
+def test_unsupported_expressions(rows):
+    for where in ("name SIMILAR TO 'a%'", "EXISTS (SELECT 1 FROM t WHERE (a = 1))"):
+        assert names(select(rows, f"SELECT * FROM s WHERE {where} OR age = 30", mode="compat")) == []
+        with pytest.raises(SelectError):
+            select(rows, f"SELECT * FROM s WHERE {where}")
+    for where in ("NOSUCH(name) = 1", "UPPER(name, age) = 'x'", "CAST(age AS NOSUCH) = 1"):
+        with pytest.raises(SelectError):
+            select(rows, f"SELECT * FROM s WHERE {where}")
+
+
+def test_requests(spark, tmp_path):
+    import gzip
+
+    from lakeglass.plans.select import parse_request, run_request
+
+    json_body = '{"Expression": "SELECT name FROM s3object WHERE age > 28", "ExpressionType": "SQL", "InputSerialization": {"JSON": {"Type": "LINES"}}, "OutputSerialization": {"CSV": {}}, "ScanRange": {"Start": 5, "End": 9}}'
+    r = parse_request(json_body)
+    assert (r.input_format, r.output_format, r.start, r.end, r.compression) == ("JSON", "CSV", 5, 9, "NONE")
+    xml_body = """<?xml version="1.0"?><SelectObjectContentRequest xmlns="http://x"><Expression>SELECT name, city FROM s3object WHERE age &gt; 26</Expression><ExpressionType>SQL</ExpressionType>
+      <InputSerialization><CompressionType>GZIP</CompressionType><CSV><FileHeaderInfo>USE</FileHeaderInfo></CSV></InputSerialization><OutputSerialization><JSON/></OutputSerialization></SelectObjectContentRequest>"""
+    x = parse_request(xml_body.encode())
+    assert (x.expression, x.input_format, x.compression, x.input_options) == ("SELECT name, city FROM s3object WHERE age > 26", "CSV", "GZIP", {"FileHeaderInfo": "USE"})
+    (tmp_path / "users.json").write_text('{"name": "Alice", "age": 30}\n{"name": "Bob", "age": 25}\n{"name": "Charlie", "age": 35}\n')
+    with gzip.open(tmp_path / "users.csv.gz", "wt") as f:
+        f.write("name,age,city\nAlice,30,Rome\nBob,25,Oslo\nCharlie,35,Bern\n")
+    assert [v["value"] for v in run_request(spark, json_body, str(tmp_path / "users.json")).collect()] == ["Alice", "Charlie"]
+    assert [v["value"] for v in run_request(spark, xml_body, str(tmp_path / "users.csv.gz")).collect()] == ['{"name":"Alice","city":"Rome"}', '{"name":"Charlie","city":"Bern"}']
+    for body in ("", "{}", "<a>", '{"Expression": "SELECT 1", "ExpressionType": "XPATH"}', b"\xff\xfe", '{"Expression": "x", "ExpressionType": "SQL"}', "<!DOCTYPE x><x/>"):
+        with pytest.raises(SelectError):
+            parse_request(body)
+    with pytest.raises(SelectError):
+        run_request(spark, xml_body, str(tmp_path / "users.json"))
