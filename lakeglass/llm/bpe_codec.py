@@ -24,7 +24,7 @@ from lakeglass.llm.textbatch import tidy
 SPLIT = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-MEMO_LIMIT = 300_000
+MEMO_LIMIT = 100_000
 _NONE = 1 << 62
 _POS = 32
 

@@ -26,7 +26,7 @@ from lakeglass.llm.textbatch import tidy
 SPACE = "▁"
 #: Space marks with the letters, or with the other characters, that follow them.
 PART = regex.compile(rf"{SPACE}*(?:\p{{L}}+|[^{SPACE}\p{{L}}]+)|{SPACE}+")
-MEMO_LIMIT = 400_000
+MEMO_LIMIT = 150_000
 
 
 class PieceCounter:

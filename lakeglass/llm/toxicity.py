@@ -53,7 +53,7 @@ BATCH_CHARS, LEAST_BATCHES = 120_000, 12
 #: Documents of each label that the network is fitted on, and their bytes in all.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 800, 1200, 8_000_000
 #: Characters scored together.
-SCORE_CHARS = 1_500_000
+SCORE_CHARS = 1_000_000
 
 _F = np.float32
 
@@ -179,7 +179,7 @@ class Network:
         known = [r < len(self.grams) for r in rows]
         row, word = np.concatenate([r[k] for r, k in zip(rows, known, strict=True)]), np.concatenate([owner[k] for k in known])
         order = np.argsort(word, kind="stable")
-        return Inputs(_rank(self.words, block.word), row[order], word[order])
+        return Inputs(_rank(self.words, block.word).astype(np.int32), row[order].astype(np.int32), word[order].astype(np.int32))
 
     def inputs(self, at: Inputs) -> np.ndarray:
         """Input vector of each distinct word."""
@@ -376,6 +376,8 @@ def train(texts: list[str], toxic: list[int], *, share: float | None = None, epo
         net.p["bias"][0] = 4.0 if n_toxic else -4.0
         return net
     looked, looked_checks = [net.look_up(b) for b, _ in batches], [net.look_up(b) for b, _ in checks]
+    for block, _ in batches + checks:
+        block.grams = []  # looked up for good
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
@@ -398,7 +400,7 @@ def train(texts: list[str], toxic: list[int], *, share: float | None = None, epo
                     continue
             else:
                 if (epoch - SHORT_EPOCHS) % LOOK_EVERY == 0:
-                    chosen[i] = _worst(block, net.logits(block))
+                    chosen[i] = _worst(block, net.logits(block, net.inputs(looked[i])))
                 worst = chosen[i]
             target = y[block.owner[worst]].astype(_F)
             _, grads = net.gradients(block, look, worst, target, np.where(target > 0, weight_toxic, _F(1)))

@@ -154,15 +154,19 @@ class Shard:
         self.codes = coder.substrings(vectors / self.norms[:, None])
         self.indexes = [SubstringIndex(self.codes[:, j]) for j in range(self.codes.shape[1])]
 
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows whose code lies within ``radius``: pigeonhole probes, then whole codes."""
+    def probed(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows that the probes for ``radius`` reach; all codes within it are among them."""
         m = len(self.indexes)
         spare = radius - m + 1  # what the substring radii add up to
         low, extra = divmod(spare, m) if spare >= 0 else (-1, m + spare)
         seen = np.zeros(len(self.codes), dtype=bool)
         for j, index in enumerate(self.indexes):
             seen[index.probe(int(code[j]), low + (j < extra))] = True
-        rows = np.flatnonzero(seen)
+        return np.flatnonzero(seen)
+
+    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows whose code lies within ``radius``: pigeonhole probes, then whole codes."""
+        rows = self.probed(code, radius)
         return rows[distances(self.codes[rows], code) <= radius]
 
     def nearest(self, query: np.ndarray, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +193,7 @@ def nearest_neighbours(vectors: DataFrame, is_query, *, k: int = 5, id_col: str
     double precision first, ties to the smaller id.  A query gets fewer rows only
     where the table has fewer.  Vectors that are null, zero, of another length than
     most, or that hold nulls or numbers that are not finite take no part; nor do
-    null ids.  Equal vectors under several ids are candidates for each other; rows
+    null ids.  A very long vector is one of its length.  Equal vectors under several ids are candidates for each other; rows
     that repeat an id with the same vector count once.  An empty table gives an
     empty result, and only the two named columns are read.
     """

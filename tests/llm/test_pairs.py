@@ -141,6 +141,36 @@ def test_recall(spark, tables):
     assert np.mean([len(set(found[q]) & set(truth[q])) / 5 for q in truth]) >= 0.9
 
 
+def share_and_recall(vectors, k=5):
+    """(share of the rows that probes reach, recall) over every 50th row, in one shard."""
+    coder = vector_search.fit(vectors[: vector_search.SAMPLE], k)
+    shard = vector_search.Shard(coder, vectors)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    asks = np.arange(0, len(vectors), 50)
+    reached, found = [], []
+    for q, code in zip(asks, coder.substrings(unit[asks]), strict=True):
+        reached.append(len(shard.probed(code, coder.radius)) / len(vectors))
+        rows, score = shard.nearest(vectors[q], code, k + 1)
+        best = [r for r in rows[np.argsort(-score, kind="stable")] if r != q][:k]
+        near = unit @ unit[q]
+        near[q] = -np.inf
+        found.append(len(set(np.argsort(-near)[:k]) & set(best)) / k)
+    return float(np.mean(reached)), float(np.mean(found))
+
+
+def test_share_probed(spark, tables):
+    """The table's vectors have no near neighbours, so probes reach most rows; where there are some, few."""
+    table = np.array([r["embedding"] for r in spark.read.parquet(f"{tables.replace('sf0.01', 'sf0.1')}/embeddings.parquet").collect()], dtype=np.float64)
+    share, recall = share_and_recall(table)
+    print(f"table: probes reach {share:.3f} of the rows, recall {recall:.3f}")
+    assert recall >= 0.9
+    rng = np.random.default_rng(2)
+    near = rng.standard_normal((400, 64))[rng.integers(0, 400, 4000)] + 0.15 * rng.standard_normal((4000, 64))
+    share, recall = share_and_recall(near)
+    print(f"clusters: probes reach {share:.3f} of the rows, recall {recall:.3f}")
+    assert recall >= 0.9 and share < 0.2
+
+
 def test_copies_and_odd_vectors(spark):
     rng = np.random.default_rng(1)
     hot = rng.standard_normal(16).tolist()
