@@ -209,3 +209,36 @@ def prefetch(scored: DataFrame, item: str, score: str, threshold: float, k: int)
 def first_suggestions(predictions: DataFrame, session: str, order: Sequence[str], k: int) -> DataFrame:
     """The first ``k`` predictions of every session, as they come."""
     return keep_last(predictions, [session], [F.col(c) for c in order], k)
+
+
+def recent_sequential(log: DataFrame, partition: Sequence[str], order: Sequence[str], key: str, is_read: Column, recent: int = 100, max_step: int = 5) -> DataFrame:
+    """:func:`sequential_keys` over the last ``recent`` records of a partition, of which only reads count."""
+    newest = keep_last(log, partition, [F.desc(c) for c in order], recent)
+    return sequential_keys(newest.where(is_read), partition, order, key, max_step)
+
+
+def next_keys(keys: DataFrame, key: str, n: int) -> DataFrame:
+    """The next ``n`` keys after each: its last number counted up, padded to the same width."""
+    head, number, tail = (F.regexp_extract(key, r"^(.*?)(\d+)(\D*)$", i) for i in (1, 2, 3))
+    following = lambda i: (number.try_cast("bigint") + i).cast("string")
+    padded = lambda x: F.when(F.length(x) < F.length(number), F.lpad(x, F.length(number), F.lit("0"))).otherwise(x)
+    ahead = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.struct(i.alias("step"), F.concat(head, padded(following(i)), tail).alias("next")))
+    return keys.where(number != "").select(key, F.explode(ahead).alias("_n")).select(key, "_n.step", "_n.next")
+
+
+def key_parts(key: Column) -> dict[str, Column]:
+    """Folder (with its slash), name and ending (without the dot) of a key; empty where there is none."""
+    name = F.substring_index(key, "/", -1)
+    return {"folder": F.regexp_extract(key, r"^(.*/)?", 1), "name": name, "ending": F.regexp_extract(name, r"[^.]\.([^.]*)$", 1)}
+
+
+def payload(objects: DataFrame, key: str, size: str, entropy: Column, sample: int = 50) -> DataFrame:
+    """Objects, bytes, and the mean entropy over every n-th object by key, ``sample`` of them at most."""
+    from lakeglass.operators.numbering import number_rows
+
+    numbered = number_rows(objects, [key], "_i")
+    n = objects.count()
+    step = max(1, -(-n // sample))
+    picked = numbered.where(F.col("_i") % step == 0).agg(F.avg(entropy).alias("mean_entropy"), F.count("*").alias("sampled"), F.lit(1).alias("_one"))
+    total = objects.agg(F.count("*").alias("objects"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), F.lit(1).alias("_one"))
+    return total.join(picked, "_one").drop("_one")

@@ -78,6 +78,18 @@ def orset_merge(adds: DataFrame, removes: DataFrame | None, key: str, element: s
     return dots.groupBy(key, element).agg(F.count("*").alias("dots"))
 
 
+def orset_contains(merged: DataFrame, asked: DataFrame, key: str, element: str) -> DataFrame:
+    """``asked`` with ``present``: whether the merged set has the element."""
+    return asked.join(merged.select(key, element).distinct().withColumn("_in", F.lit(True)), [key, element], "left").withColumn("present", F.coalesce("_in", F.lit(False))).drop("_in")
+
+
+def ormap_merge(adds: DataFrame, removes: DataFrame, key: str, element: str, node: str, count: str, value: str, columns: Sequence[str] = STAMP) -> DataFrame:
+    """An observed-remove map: entries are kept like set elements, and each holds its last write's value."""
+    kept = orset_merge(adds, removes, key, element, node, count).select(key, element)
+    last = adds.groupBy(key, element).agg(F.max_by(value, F.struct(*columns, value)).alias(value))
+    return kept.join(last, [key, element])
+
+
 def delta(writes: DataFrame, since: tuple[int, int]) -> DataFrame:
     """Writes after a stamp."""
     return writes.where(F.struct("physical", "logical") > F.struct(F.lit(since[0]).cast("long"), F.lit(since[1]).cast("int")))

@@ -388,6 +388,66 @@ def slow_and_fast_edges(spark, sf):
     return d.select("edge", (F.col("ratio") < 0.98).alias("slow"), (F.col("ratio") > 1.02).alias("fast")).where("slow or fast")
 
 
+_LOCATIONS = "(select distinct l_partkey, l_quantity, l_suppkey, l_suppkey % 17 as ms, l_suppkey % 5 = 0 as main from lineitem)"
+
+
+def _locations(spark, sf):
+    return _t(spark, sf, "lineitem", "l_partkey", "l_quantity", "l_suppkey").distinct().withColumn("ms", F.col("l_suppkey") % 17).withColumn("main", F.col("l_suppkey") % 5 == 0)
+
+
+def _plan(spark, sf, prefer):
+    return fleet.read_plan(_locations(spark, sf), "l_partkey", "l_quantity", "l_suppkey", "ms", F.col("l_suppkey") % 7 > 0, 10, prefer, F.col("main")).select("l_partkey", "l_quantity", "l_suppkey", "readable")
+
+
+@query(f"select l_partkey, l_quantity, l_suppkey, count(*) over (partition by l_partkey) >= 10 as readable from (select *, row_number() over (partition by l_partkey, l_quantity order by l_suppkey) rn from {_LOCATIONS} where l_suppkey % 7 > 0) where rn = 1")
+def read_plan_any(spark, sf):
+    return _plan(spark, sf, "any")
+
+
+@query(f"select l_partkey, l_quantity, l_suppkey, count(*) over (partition by l_partkey) >= 10 as readable from (select *, row_number() over (partition by l_partkey, l_quantity order by not main, ms, l_suppkey) rn from {_LOCATIONS} where l_suppkey % 7 > 0) where rn = 1")
+def read_plan_primary(spark, sf):
+    return _plan(spark, sf, "primary")
+
+
+@query(f"select l_partkey as chunk, arg_min(l_suppkey, (case when l_suppkey = 3 then ms - 10.0 else ms end, l_suppkey)) as edge from (select *, cast(l_suppkey % 23 as double) as ms from (select distinct l_partkey, l_suppkey from lineitem)) group by 1")
+def nearest_or_local(spark, sf):
+    loc = _t(spark, sf, "lineitem", "l_partkey", "l_suppkey").distinct().select(F.col("l_partkey").alias("chunk"), F.col("l_suppkey").alias("edge"), (F.col("l_suppkey") % 23).alias("ms"))
+    return fleet.nearest(loc, "chunk", "edge", "ms", F.lit(True), local=3, margin=10.0)
+
+
+@query("select l_suppkey, count(distinct l_partkey) as replicas from lineitem group by 1")
+def chunks_per_edge(spark, sf):
+    return fleet.replica_counts(_t(spark, sf, "lineitem", "l_partkey", "l_suppkey"), "l_suppkey", "l_partkey")
+
+
+@query("""with e as (select *, case when event_type in ('view', 'click') then 'get' else 'put' end as op from events) select op, count(*) as operations, count(*) filter (where event_type = 'error') as errors, round(count(*) filter (where event_type = 'error') / count(*), 6) as error_rate from e group by 1""")
+def put_and_get_errors(spark, sf):
+    e = _t(spark, sf, "events").withColumn("op", F.when(F.col("event_type").isin("view", "click"), "get").otherwise("put")).withColumn("size", F.lit(1))
+    return metrics.store_metrics(e, ["op"], "event_type", "value", "size").select("op", "operations", "errors", _r("error_rate").alias("error_rate"))
+
+
+@query(f"""with k as (select session, event_id, key, row_number() over (partition by session order by event_id desc) rn from {_KEYS}), r as (select session, event_id, try_cast(nullif(regexp_extract(key, '([0-9]+)$', 1), '') as bigint) x from k where rn <= 100 and event_id % 3 > 0), d as (select *, x - lag(x) over (partition by session order by event_id) d from r),
+s as (select session, count(*) n, coalesce(avg(case when d is not null then case when abs(d) <= 5 then 1 else 0 end end), 0.0) share from d group by 1) select session, n as records, round(share, 6) as share, share > 0.5 and n >= 5 as sequential from s""")
+def recent_sequential(spark, sf):
+    return access.recent_sequential(_keys(spark, sf), ["session"], ["event_id"], "key", F.col("event_id") % 3 > 0).withColumn("share", _r("share"))
+
+
+@query("select c_name, i as step, regexp_replace(c_name, '[0-9]+$', '') || lpad(cast(cast(regexp_extract(c_name, '([0-9]+)$', 1) as bigint) + i as varchar), cast(greatest(length(regexp_extract(c_name, '([0-9]+)$', 1)), length(cast(cast(regexp_extract(c_name, '([0-9]+)$', 1) as bigint) + i as varchar))) as int), '0') as next from customer, range(1, 4) r(i)")
+def next_keys(spark, sf):
+    return access.next_keys(_t(spark, sf, "customer", "c_name"), "c_name", 3).withColumn("step", F.col("step").cast("bigint"))
+
+
+@query(f"select event_id, regexp_extract(key, '^(.*/)?', 1) as folder, regexp_extract(key, '([^/]*)$', 1) as name, regexp_extract(regexp_extract(key, '([^/]*)$', 1), '[^.]\.([^.]*)$', 1) as ending from {_KEYS}")
+def key_parts(spark, sf):
+    return _keys(spark, sf).select("event_id", *[c.alias(n) for n, c in access.key_parts(F.col("key")).items()])
+
+
+@query("""with d as (select doc_id, octet_length(encode(text)) as size, row_number() over (order by doc_id) - 1 i, count(*) over () n from documents) select count(*) as objects, cast(sum(size) as bigint) as bytes, round(avg(size / 1000.0) filter (where i % greatest(1, cast(ceil(n / 50.0) as bigint)) = 0), 6) as mean_entropy, count(*) filter (where i % greatest(1, cast(ceil(n / 50.0) as bigint)) = 0) as sampled from d""")
+def payload(spark, sf):
+    d = _t(spark, sf, "documents", "doc_id", "text").select("doc_id", F.octet_length("text").alias("size"))
+    return access.payload(d, "doc_id", "size", F.col("size") / 1000.0).withColumn("mean_entropy", _r("mean_entropy"))
+
+
 # Collectives --------------------------------------------------------------------------
 
 

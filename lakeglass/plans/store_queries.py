@@ -252,6 +252,26 @@ def merge_stats(spark, sf):
     return crdt.merge_statistics(parts.select("merged", "conflicts"))
 
 
+_ADDS = "(select user_id % 20 as key, event_type as element, user_id % 5 as node, event_id % 50 as dot, event_id as value from events)"
+
+
+def _adds(spark, sf):
+    return _t(spark, sf, "events").select((F.col("user_id") % 20).alias("key"), F.col("event_type").alias("element"), (F.col("user_id") % 5).alias("node"), (F.col("event_id") % 50).alias("dot"), F.col("event_id").alias("physical"), F.lit(0).alias("logical"), F.col("event_id").alias("value"))
+
+
+@query(f"""with k as (select distinct key, element, node, dot from {_ADDS} where dot % 4 > 0), a as (select distinct key, element from {_ADDS}) select a.key as key, a.element as element, count(k.dot) > 0 as present from a left join k on a.key = k.key and a.element = k.element group by 1, 2""")
+def orset_membership(spark, sf):
+    a = _adds(spark, sf)
+    merged = crdt.orset_merge(a, a.where("dot % 4 = 0"), "key", "element", "node", "dot")
+    return crdt.orset_contains(merged, a.select("key", "element").distinct(), "key", "element")
+
+
+@query(f"""select key, element, max(value) as value from {_ADDS} group by 1, 2 having count(*) filter (where dot % 4 > 0) > 0""")
+def ormap_entries(spark, sf):
+    a = _adds(spark, sf)
+    return crdt.ormap_merge(a, a.where("dot % 4 = 0"), "key", "element", "node", "dot", "value")
+
+
 # Content --------------------------------------------------------------------------------
 
 
