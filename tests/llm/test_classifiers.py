@@ -51,6 +51,39 @@ def test_viterbi_like_brute_force():
         assert value(got[a:b].tolist()) == pytest.approx(best, abs=1e-4)
 
 
+def test_predictions_like_a_plain_loop(model):
+    """Scripts, scores word by word from the table, the best labelling by plain dynamic programming, and the score."""
+    rnd = random.Random(11)
+    texts = [text(EN, 5, rnd), text(FR, 7, rnd) + " " + text(EN, 9, rnd), "дом " + text(EN, 3, rnd), "été", "x", text(RU, 4, rnd) + " 12 " + text(FR, 6, rnd)]
+    n_buckets = len(model.table) - 1
+    for t, lang, score in zip(texts, *model.predict(texts), strict=True):
+        words = language_id.Words([t], language_id.LETTER)
+        rows = []
+        for i in range(len(words)):
+            begin, grams = language_id.gram_buckets(words, np.array([i]), language_id.GRAMS, n_buckets)
+            s = sum(model.table[g].sum(axis=0) for g in grams) / len(language_id.GRAMS)
+            kind = language_id.word_scripts(words, np.array([i]))[0]
+            allowed = model.allowed[kind] if model.allowed[kind].any() else np.ones(len(s), bool)
+            s = np.where(allowed, s, s.max() + language_id.EXCLUDED)
+            rows.append(np.zeros(len(s)) if kind == 1 else s - s.max())
+        best, back = rows[0].astype(float), []
+        for r in rows[1:]:
+            jump = best.max() - language_id.SWITCH
+            back.append([j if best[j] >= jump else int(best.argmax()) for j in range(len(r))])
+            best = np.maximum(best, jump) + r
+        path = [int(best.argmax())]
+        for b in reversed(back):
+            path.append(b[path[-1]])
+        path.reverse()
+        letters = np.zeros(len(model.languages))
+        for i, j in enumerate(path):
+            letters[j] += words.end[i] - words.start[i]
+        top, sums = int(letters.argmax()), np.sum(rows, axis=0)
+        margin = sums[top] - np.delete(sums, top).max()
+        assert lang == model.languages[top]
+        assert score == pytest.approx(letters[top] / letters.sum() / (1 + np.exp(-np.clip(margin, -30, 30))), abs=1e-3)
+
+
 def test_no_languages():
     assert language_id.fit([], []).predict(["abc", None]) == (["und", "und"], [0.0, 0.0])
 

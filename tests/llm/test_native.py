@@ -141,6 +141,36 @@ def test_mining_like_brute_force(spark):
         assert (i in hits) == bool(fits) and (not fits or abs(hits[i][1] - max(fits)) < 1e-12)
 
 
+def test_verdicts_like_brute_force(spark):
+    """The whole operator: labels by the number in the path, every subset mined, every rule tried on every page."""
+    rnd = random.Random(6)
+    hosts = ["a.example.org", "b.example.com", "shop.net", "news.net"]
+    rows = [(i, f"{rnd.choice(['http', 'https'])}://{rnd.choice(hosts)}/{rnd.choice(['fr', 'de', 'es', 'buy'])}/{i}{rnd.choice(['.html', '', '?ref=x'])}") for i in range(240)] + [(900, None), (901, "no scheme"), (902, "http://news.net/buy/")]
+    labels = [(i, 0 if "buy" in u and "shop" in u or rnd.random() < 0.1 else 1, int("/de/" in u and rnd.random() < 0.8)) for i, u in rows[:200]]
+    labels += [(3, None, None), (3, 1, 0), (77_777, 0, 1)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    url, host, path = F.col("url"), url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url"))
+    tokens = {r["page_id"]: r["t"] for r in pages.select("page_id", url_rules.url_tokens(F.coalesce(url, F.lit("")), host, path).alias("t")).collect()}
+    bad = {}
+    for i, quality, toxic in labels:
+        bad[i] = bad.get(i, False) or quality == 0 or toxic == 1
+    baskets = [(tokens[i], bad[i]) for i, _ in rows if i in bad]
+    support = max(0.02, 5 / len(baskets))
+    rules = mined_by_hand(baskets, support, 0.6)
+    counts = {(c, v): sum(set(c) <= set(t) and b == (v == "block") for t, b in baskets) for c, v in rules}
+    got = {r["page_id"]: r for r in url_rules.filter_urls(pages, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), min_support=0.02).collect()}
+    assert len(got) == len(rows)
+    fired_any = 0
+    for i, u in rows:
+        fires = [(p, counts[c, v] / len(baskets), v == "block") for (c, v), p in rules.items() if set(c) <= set(tokens[i])]
+        fired_any += bool(fires)
+        mined = ("block" if max(fires)[2] else "allow") if fires else "allow"
+        fixed = [r for r in url_rules.HOST_RULES if u and (got[i]["host"] == r.host or got[i]["host"].endswith("." + r.host)) and got[i]["path"].startswith(r.path)]
+        want = max(fixed, key=lambda r: len(r.name)).verdict if fixed else mined
+        assert got[i]["verdict"] == want and got[i]["rule"] == (max(fixed, key=lambda r: len(r.name)).name if fixed else None), u
+    assert fired_any > 100
+
+
 def scan_by_hand(text, threshold=license_scan.THRESHOLD):
     import re
 
