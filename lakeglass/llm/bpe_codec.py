@@ -191,6 +191,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, *, with_ids: bool = Fals
                 columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        memo.forget()  # the worker lives on, with other work
 
     schema = f"`{id_col}` {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
     return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)

@@ -35,3 +35,7 @@ class Memo(dict):
             self.clear()
         self[key] = value
         return value
+
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()

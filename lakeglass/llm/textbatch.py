@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -131,6 +132,7 @@ def blocks(column: pa.Array | pa.ChunkedArray, block_chars: int = BLOCK_CHARS) -
 
 def release() -> None:
     """Give memory that is free back to the system; workers live on between tasks and share a machine."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -137,5 +137,6 @@ def count_tokens(docs: DataFrame, model_path: str, *, limit: int, id_col: str =
                 ],
                 names=[id_col, "n_bytes", "n_tokens", "over_limit"],
             )
+        memo.forget()  # the worker lives on, with other work
 
     return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {id_type}, n_bytes bigint, n_tokens bigint, over_limit boolean")

@@ -146,6 +146,15 @@ class Inputs:
     gram_owner: np.ndarray
 
 
+def _pack(at: Inputs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same in a quarter of the memory: 16-bit rows (MAX_GRAMS bounds them), and n-grams by word as counts."""
+    return at.word, at.gram.astype(np.uint16), np.bincount(at.gram_owner, minlength=len(at.word)).astype(np.int32)
+
+
+def _unpack(word: np.ndarray, gram: np.ndarray, counts: np.ndarray) -> Inputs:
+    return Inputs(word, gram.astype(np.int32), np.repeat(np.arange(len(word), dtype=np.int32), counts))
+
+
 class Network:
     """Parameters, forward pass, and gradients of the window scorer."""
 
@@ -375,9 +384,9 @@ def train(texts: list[str], toxic: list[int], *, share: float | None = None, epo
         net.p["out"][:] = 0
         net.p["bias"][0] = 4.0 if n_toxic else -4.0
         return net
-    looked, looked_checks = [net.look_up(b) for b, _ in batches], [net.look_up(b) for b, _ in checks]
+    looked, looked_checks = [_pack(net.look_up(b)) for b, _ in batches], [_pack(net.look_up(b)) for b, _ in checks]
     for block, _ in batches + checks:
-        block.grams = []  # looked up for good
+        block.grams, block.words.buf = [], np.empty(0, dtype=np.uint8)  # looked up for good
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
@@ -389,7 +398,7 @@ def train(texts: list[str], toxic: list[int], *, share: float | None = None, epo
         rate = 0.03 * (1 - epoch / epochs) + 0.002
         for i in rng.permutation(len(batches)):
             block, y = batches[i]
-            look = looked[i]
+            whole = look = _unpack(*looked[i])
             hidden = rng.random(len(look.word)) < HIDDEN_WORDS
             seen = ~hidden[look.gram_owner]
             look = Inputs(np.where(hidden, len(net.words), look.word), look.gram[seen], look.gram_owner[seen])
@@ -400,7 +409,7 @@ def train(texts: list[str], toxic: list[int], *, share: float | None = None, epo
                     continue
             else:
                 if (epoch - SHORT_EPOCHS) % LOOK_EVERY == 0:
-                    chosen[i] = _worst(block, net.logits(block, net.inputs(looked[i])))
+                    chosen[i] = _worst(block, net.logits(block, net.inputs(whole)))
                 worst = chosen[i]
             target = y[block.owner[worst]].astype(_F)
             _, grads = net.gradients(block, look, worst, target, np.where(target > 0, weight_toxic, _F(1)))
@@ -414,7 +423,7 @@ def train(texts: list[str], toxic: list[int], *, share: float | None = None, epo
                 second[name] = _F(0.99) * second[name] + _F(0.01) * g * g
                 net.p[name] = net.p[name] - _F(rate) * (first[name] / _F(1 - 0.9**step)) / (np.sqrt(second[name] / _F(1 - 0.99**step)) + _F(1e-5))
         if 2 * epoch >= epochs - 1 and (epochs - 1 - epoch) % 2 == 0:
-            found = [(net.logits(b, net.inputs(look)), b, y) for (b, y), look in zip(checks, looked_checks, strict=True)]
+            found = [(net.logits(b, net.inputs(_unpack(*look))), b, y) for (b, y), look in zip(checks, looked_checks, strict=True)]
             logit = np.concatenate([v[_worst(b, v)] for v, b, _ in found] or [np.empty(0)]).astype(np.float64)
             y = np.concatenate([y[b.owner[_worst(b, v)]] for v, b, y in found] or [np.empty(0)])
             if not len(y) or y.min() == y.max():
