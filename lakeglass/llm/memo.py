@@ -13,7 +13,7 @@ LONGEST = 64
 class Memo(dict):
     """Computes missing values; holds at most ``2 * limit`` of them in two generations.
 
-    Keys of more than ``LONGEST`` characters are not kept, so an entry takes a few
+    Texts of more than ``LONGEST`` characters are not kept, so an entry takes a few
     hundred bytes at most.
 
     When the young generation is full it becomes the old one; values asked for
@@ -25,7 +25,7 @@ class Memo(dict):
         self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
-        if len(key) > LONGEST:
+        if isinstance(key, str) and len(key) > LONGEST:
             return self.make(key)
         value = self.old.get(key)
         if value is None:

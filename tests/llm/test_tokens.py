@@ -61,3 +61,11 @@ def test_memo_is_bounded():
     memo = Memo(lambda k: k * 2, 10)
     assert [memo[i % 37] for i in range(1000)] == [i % 37 * 2 for i in range(1000)]
     assert len(memo) + len(memo.old) <= 20
+
+
+def test_memo_keeps_no_long_texts():
+    memo = Memo(len, 10)
+    assert [memo["x" * n] for n in (1, 64, 65, 100_000)] == [1, 64, 65, 100_000]
+    assert sorted(map(len, memo)) == [1, 64]
+    memo.forget()
+    assert not memo and not memo.old and memo["x"] == 1
