@@ -20,12 +20,11 @@ def select_compat_unequal(spark, sf):
 @query("""select o_orderkey, case when o_totalprice > 200000 then 'large' when o_totalprice > 50000 then 'middle' else 'small' end as size, cast(o_totalprice as bigint) as whole, upper(substr(o_orderpriority, 3)) as name,
 coalesce(nullif(o_orderstatus, 'P'), '-') as status from orders where o_orderpriority ilike '%high' or length(o_orderstatus || trim(o_orderpriority)) = 6""")
 def select_functions(spark, sf):
-    o = _t(spark, sf, "orders").withColumn("o_totalprice", F.floor("o_totalprice").cast("double"))
     return select(
-        o,
+        _t(spark, sf, "orders"),
         "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'large' WHEN o_totalprice > 50000 THEN 'middle' ELSE 'small' END AS size, CAST(o_totalprice AS INT) AS whole, UPPER(SUBSTRING(o_orderpriority, 3)) AS name, "
         "COALESCE(NULLIF(o_orderstatus, 'P'), '-') AS status FROM s3object WHERE o_orderpriority ILIKE '%high' OR CHAR_LENGTH(o_orderstatus || TRIM(o_orderpriority)) = 6",
-    ).withColumn("whole", F.col("whole").cast("bigint"))
+    )
 
 
 # Metrics ----------------------------------------------------------------------------

@@ -280,6 +280,14 @@ FUNCTIONS: dict[str, tuple[int, int, Callable[..., Column]]] = {
 # Standard mode ------------------------------------------------------------------
 
 
+def _cast(value: Column, kind: str) -> Column:
+    """A cast that is null where it fails; floating numbers become the nearest whole one, halves the even one."""
+    if kind != "bigint":
+        return value.try_cast(kind)
+    floating = F.typeof(value).isin("double", "float")  # constant once the type is known
+    return F.when(floating, F.rint(value.try_cast("double")).try_cast(kind)).otherwise(value.try_cast(kind))
+
+
 def _standard(node: Node, names: set[str]) -> Column:
     build = lambda n: _standard(n, names)
     op, args = node.op, node.args
@@ -299,7 +307,7 @@ def _standard(node: Node, names: set[str]) -> Column:
     if op == "cast":
         if args[1] not in CASTS:
             raise SelectError(f"no type {args[1]!r}")
-        return build(args[0]).try_cast(CASTS[args[1]])
+        return _cast(build(args[0]), CASTS[args[1]])
     if op == "call":
         least, most, make = FUNCTIONS.get(args[0], (1, 0, F.coalesce))
         if not least <= len(args) - 1 <= most:

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lakeglass.plans.registry import QUERIES
 from lakeglass.plans.select import SelectError, parse, select
 from lakeglass.sources import readers, sinks
 
@@ -156,3 +157,19 @@ def test_requests(spark, tmp_path):
             parse_request(body)
     with pytest.raises(SelectError):
         run_request(spark, xml_body, str(tmp_path / "users.json"))
+
+
+def test_casts_to_whole_numbers_round(spark):
+    df = spark.createDataFrame([(0.5, "7"), (1.5, "x"), (-2.5, "7.5"), (217583.99, None), (float("nan"), "1"), (1e300, "2"), (None, "3")], "x double, s string")
+    got = select(df, "SELECT CAST(x AS INT) AS a, CAST(s AS INT) AS b, CAST(x AS STRING) AS c FROM s")
+    assert got.schema["a"].dataType.simpleString() == "bigint"
+    assert [r["a"] for r in got.collect()] == [0, 2, -2, 217584, None, None, None]
+    assert [r["b"] for r in got.collect()] == [7, None, None, None, 1, 2, 3]
+    assert got.first()["c"] == "0.5"
+
+
+def test_select_functions_sees_whole_prices(spark, tmp_path):
+    rows = [(1, "O", 200000.25, "2-HIGH"), (2, "P", 50000.5, "2-HIGH"), (3, "F", 50000.0, "2-HIGH")]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    got = sorted((r["o_orderkey"], r["size"], r["whole"]) for r in QUERIES["select_functions"](spark, str(tmp_path)).collect())
+    assert got == [(1, "large", 200000), (2, "middle", 50000), (3, "small", 50000)]
