@@ -260,7 +260,7 @@ def preposition(spark, sf):
 
 @query("select domain, millis, rank() over (order by millis) as rank from (select user_id as domain, cast(floor(avg(value)) as bigint) as millis from events group by 1 having max(event_id) >= 20)")
 def ranked_domains(spark, sf):
-    d = _t(spark, sf, "events").groupBy(F.col("user_id").alias("domain")).agg(F.avg("value").alias("ms"), F.max("event_id").alias("last"))
+    d = _t(spark, sf, "events").groupBy(F.col("user_id").alias("domain")).agg(metrics.steady_mean("value").alias("ms"), F.max("event_id").alias("last"))
     return planning.ranked_domains(d, "domain", "ms", F.when(F.col("last") >= 20, 0).otherwise(100), 50).withColumn("rank", F.col("rank").cast("bigint"))
 
 

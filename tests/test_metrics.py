@@ -24,6 +24,12 @@ def test_latency_by_domain_whatever_the_order(spark, orders, tmp_path):
     assert [(r["domain"], r["mean_ms"]) for r in sorted(got)] == [(20 + i, 50) for i in range(4)]
 
 
+def test_ranked_domains_whatever_the_order(spark, orders, tmp_path):
+    orders.write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["ranked_domains"](spark, str(tmp_path)).collect()
+    assert [(r["domain"], r["millis"], r["rank"]) for r in sorted(got)] == [(20 + i, 50, 1) for i in range(4)]
+
+
 def test_steady_mean_of_odd_values(spark):
     rows = [("null", None), ("some", 1.5), ("some", None), ("nan", float("nan")), ("nan", 1.0), ("huge", 1e300), ("huge", 1e300), ("fine", 1e-12), ("fine", 3e-12), ("low", -0.1), ("low", -0.3)]
     df = spark.createDataFrame(rows, "k string, v double")
