@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from typing import Any
 
 
@@ -30,11 +30,33 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        self._keep(key, value)
+        return value
+
+    def values_of(self, keys: Iterable[str], make_all: Callable[[list[str]], Iterable[Any]], at_once: int) -> dict[str, Any]:
+        """The values of ``keys`` (distinct); what is not held is computed so many at a time."""
+        out, missing = {}, []
+        for key in keys:
+            value = self.get(key)
+            if value is None and (value := self.old.get(key)) is not None:
+                self._keep(key, value)
+            if value is None:
+                missing.append(key)
+            else:
+                out[key] = value
+        for i in range(0, len(missing), at_once):
+            some = missing[i : i + at_once]
+            for key, value in zip(some, make_all(some), strict=True):
+                out[key] = value
+                if len(key) <= LONGEST:
+                    self._keep(key, value)
+        return out
+
+    def _keep(self, key: Any, value: Any) -> None:
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         self[key] = value
-        return value
 
     def forget(self) -> None:
         self.old = {}

@@ -31,6 +31,26 @@ def test_encodes_like_the_library(text):
     assert codec.decode(ids) == TOKENIZER.decode(ids, skip_special_tokens=False) == text
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=bpe_codec.WIDEST), max_size=20))
+def test_trees_side_by_side_merge_like_single_ones(pieces):
+    codec, _ = bpe_codec._codec(BYTES)
+    assert codec.encode_pieces(pieces) == [codec.encode_piece(p) for p in pieces]
+
+
+def test_pieces_of_a_block_are_merged_together_and_once():
+    codec = bpe_codec.ByteBpe(BYTES)
+    words = [f" word{i:x}ing" for i in range(3000)]
+    texts = ["".join(words), "", "".join(words[::-1]) + "<|endoftext|>" + "é" * 70, " a"]
+    given_singly, together = [], []
+    single, many = codec.encode_piece, codec.encode_pieces
+    codec.encode_piece = lambda d: given_singly.append(d) or single(d)
+    codec.encode_pieces = lambda ds: together.extend(ds) or many(ds)
+    got = list(codec.encode_joined(texts, Memo(codec.named, 100)))
+    assert got == [",".join(map(str, TOKENIZER.encode(t, add_special_tokens=False).ids)) for t in texts]
+    assert given_singly == ["é".encode() * 70] and len(together) == len(set(together)) > 1000
+
+
 def test_long_words():
     counter, _ = token_counts._counter(PIECES)
     codec, _ = bpe_codec._codec(BYTES)
