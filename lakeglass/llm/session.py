@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeglass.llm.textbatch import tidy
+from lakeglass.llm.textbatch import release, tidy
 
 #: Bytes of one row of a fitted model on its way to the driver.
 MODEL_PART = 4_000_000
@@ -106,10 +106,13 @@ def fit_remotely(rows: DataFrame, fit: Callable[[pa.Table], Any]) -> Any:
         held = list(batches)
         if not held:
             return
-        data = pickle.dumps(fit(pa.Table.from_batches(held).rename_columns(names)))
-        parts = [data[i : i + MODEL_PART] for i in range(0, len(data), MODEL_PART)]
-        for i, part in enumerate(parts):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part], pa.binary())], names=["part", "data"])
+        model = fit(pa.Table.from_batches(held).rename_columns(names))
+        held.clear()
+        release()
+        data = pickle.dumps(model)
+        del model
+        for i in range(0, len(data), MODEL_PART):
+            yield pa.RecordBatch.from_arrays([pa.array([i // MODEL_PART], pa.int32()), pa.array([data[i : i + MODEL_PART]], pa.binary())], names=["part", "data"])
 
     found = sorted((r["part"], r["data"]) for r in rows.repartition(1).mapInArrow(tidy(run), "part int, data binary").collect())
     if found:

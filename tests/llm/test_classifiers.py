@@ -1,9 +1,12 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lakeglass.llm import language_id, toxicity
+from lakeglass.llm.textbatch import blocks
 
 EN, FR, RU = "the house and river of tree with was".split(), "la maison et une rivière des arbres avec était".split(), "дом и река над лесом был зелёный".split()
 
@@ -257,3 +260,15 @@ def test_toxicity_frames(spark, odd_docs, no_docs, net):
     labels = spark.createDataFrame([(1, 1, 0), (6, None, None), (5, 0, 1), (5, 0, 0)], "doc_id bigint, quality int, toxic int")
     assert toxicity.score_documents(no_docs, toxicity.learn(odd_docs, labels)).count() == 0
     assert toxicity.learn(no_docs, labels).score(["a"])[0] < 0.1
+
+
+def test_labelling_a_long_batch_takes_bounded_memory():
+    words = [f"{a}{b}{c}" for a in ("der", "die", "un", "la") for b in "abcdefghijklmnop" for c in ("keit", "ung", "cion", "aje")]
+    texts = [" ".join(words[(7 * i + j) % len(words)] for j in range(200)) for i in range(3000)]
+    model = language_id.fit(texts[:20], ["de", "es"] * 10)
+    tracemalloc.start()
+    for _, block in blocks(pa.array(texts), language_id.PREDICT_CHARS):
+        model.predict(block)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 75_000_000
