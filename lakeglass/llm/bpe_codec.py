@@ -14,7 +14,6 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from lakeglass.llm.memo import Memo
-from lakeglass.llm.textbatch import blocks, tidy
+from lakeglass.llm.textbatch import blocks, kept, tidy
 
 #: The public byte-level split, with the Unicode white-space property spelled out.
 SPLIT = regex.compile(
@@ -262,7 +261,6 @@ class ByteBpe:
         return b"".join(map(self.bytes_by_name.__getitem__, joined.split(","))).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def _codec(path: str) -> tuple[ByteBpe, Memo]:
     codec = ByteBpe(path)
     return codec, Memo(codec.named, MEMO_LIMIT)
@@ -279,7 +277,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, *, with_ids: bool = Fals
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, memo = _codec(tokenizer_path)
+        codec, memo = kept(("byte-level BPE", tokenizer_path), lambda: _codec(tokenizer_path))
         for batch in batches:
             counts, digests, back, ids, decoded = [], [], [], [], []
             for _, texts in blocks(batch.column(1), BLOCK_CHARS):
@@ -300,4 +298,4 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, *, with_ids: bool = Fals
         memo.forget()  # the worker lives on, with other work
 
     schema = f"`{id_col}` {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run, ("byte-level BPE", tokenizer_path)), schema)

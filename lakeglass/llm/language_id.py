@@ -36,7 +36,7 @@ EXCLUDED = -40.0
 SAMPLE_DOCS, LEAST_DOCS = 2400, 4
 SAMPLE_BYTES = 16_000_000
 #: Characters labelled together; longer blocks share the steps of the Viterbi pass.
-PREDICT_CHARS = 750_000
+PREDICT_CHARS = 400_000
 
 # First code point of a range, and its script. Latin until the first, neutral for symbols.
 SCRIPTS = (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import pickle
 import tempfile
 import uuid
@@ -18,6 +19,25 @@ from lakeglass.llm.textbatch import release, tidy
 MODEL_PART = 4_000_000
 
 
+#: Rows of an Arrow batch where results are materialised; JVM and worker each hold a batch or two for every task.
+BATCH_ROWS = 2000
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside send Arrow batches of at most ``BATCH_ROWS`` rows; the session is left as it was."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if 0 < int(before) <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make sure reliable checkpoints have a folder.
 
@@ -35,7 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint that outlives any executor."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with small_batches(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -114,7 +135,8 @@ def fit_remotely(rows: DataFrame, fit: Callable[[pa.Table], Any]) -> Any:
         for i in range(0, len(data), MODEL_PART):
             yield pa.RecordBatch.from_arrays([pa.array([i // MODEL_PART], pa.int32()), pa.array([data[i : i + MODEL_PART]], pa.binary())], names=["part", "data"])
 
-    found = sorted((r["part"], r["data"]) for r in rows.repartition(1).mapInArrow(tidy(run), "part int, data binary").collect())
+    with small_batches(rows.sparkSession):
+        found = sorted((r["part"], r["data"]) for r in rows.repartition(1).mapInArrow(tidy(run), "part int, data binary").collect())
     if found:
         return pickle.loads(b"".join(bytes(d) for _, d in found))
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -11,12 +11,13 @@ import ctypes
 import functools
 import gc
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 
 #: Texts are handled in blocks of about this many characters to bound memory.
-BLOCK_CHARS = 1_500_000
+BLOCK_CHARS = 500_000
 
 _rng = np.random.default_rng(20_240_607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -140,11 +141,35 @@ def release() -> None:
         pass  # another C library
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The same function of a partition's batches, which releases memory at its end."""
+#: What this worker keeps from task to task, by its key: one thing at most.
+_kept: dict[Any, Any] = {}
+
+
+def kept(key: Any, make: Callable[[], Any]) -> Any:
+    """``make()``, kept by this worker until work that keeps something else, or nothing, comes along."""
+    if key not in _kept:
+        keep_only(key)
+        _kept[key] = make()
+    return _kept[key]
+
+
+def keep_only(key: Any) -> None:
+    """Drop what this worker keeps under another key."""
+    if _kept and key not in _kept:
+        _kept.clear()
+        release()
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: Any = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function of a partition's batches, which releases memory at its end.
+
+    ``keeps`` is the key of what it takes from ``kept``; workers live on with other work,
+    so anything else that earlier work left is dropped first.
+    """
 
     @functools.wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(keeps)
         try:
             yield from run(batches)
         finally:

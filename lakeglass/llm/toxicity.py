@@ -53,7 +53,7 @@ BATCH_CHARS, LEAST_BATCHES = 120_000, 12
 #: Documents of each label that the network is fitted on, and their bytes in all.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 800, 1200, 8_000_000
 #: Characters scored together.
-SCORE_CHARS = 1_000_000
+SCORE_CHARS = 300_000
 
 _F = np.float32
 
@@ -64,22 +64,29 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Block:
-    """The words of some texts, their windows, and the hashes of the distinct words and their n-grams.
-
-    ``grams`` holds n-gram hashes by size and position, ``GRAM_HASHES`` for none.
-    """
+    """The words of some texts, their windows, and one occurrence and the hash of each distinct word."""
 
     words: Words
     number: np.ndarray
+    which: np.ndarray
     word: np.ndarray
-    gram_begin: np.ndarray
-    grams: list[np.ndarray]
     windows: np.ndarray = field(init=False)
     owner: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         self.windows, self.owner = window_starts(self.words.first)
 
+    def gram_hashes(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Where each distinct word begins, and n-gram hashes by size and position, ``GRAM_HASHES`` for none.
+
+        Made when asked for: they take many times the memory of the texts.
+        """
+        return gram_buckets(self.words, self.which, GRAMS, GRAM_HASHES)
+
+    @property
+    def grams(self) -> list[np.ndarray]:
+        return self.gram_hashes()[1]
+
 
 def window_starts(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first word, text) of every window; a text of n words has windows at 0, STRIDE, ... until covered."""
@@ -96,13 +103,23 @@ def prepare(texts: list[str | None]) -> Block | None:
         return None
     hashes = words.hashes()
     which, number = distinct(words, hashes)
-    begin, grams = gram_buckets(words, which, GRAMS, GRAM_HASHES)
-    return Block(words, number, hashes[which], begin, grams)
+    return Block(words, number, which, hashes[which])
+
+
+def _counted(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values of some parts (values, counts), and their counts in all."""
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    values, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(values, kind="stable")
+    values, counts = values[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.empty(0, np.int64)
+    return values[first], np.add.reduceat(counts, first) if len(values) else counts
 
 
-def _frequent(found: list[np.ndarray], most: int, least: float) -> np.ndarray:
+def _frequent(found: list[tuple[np.ndarray, np.ndarray]], most: int, least: float) -> np.ndarray:
     """Sorted values that at least ``least`` documents hold, the ``most`` frequent of them."""
-    values, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+    values, counts = _counted(found)
     order = np.argsort(-counts, kind="stable")[:most]
     return np.sort(values[order[counts[order] >= least]])
 
@@ -112,20 +129,23 @@ def vocabulary(blocks_: list[Block]) -> tuple[np.ndarray, np.ndarray]:
     words, grams = [], []
     least = max(LEAST_DOCS, LEAST_SHARE * sum(b.words.n_texts for b in blocks_))
     for block in blocks_:
-        size = np.diff(np.append(block.gram_begin, len(block.grams[0])))
+        begin, hashed = block.gram_hashes()
+        size = np.diff(np.append(begin, len(hashed[0])))
         held = np.unique(block.words.doc.astype(np.int64) * len(block.word) + block.number)
         doc, word = held // len(block.word), held % len(block.word)
-        words.append(block.word[word])
-        spot = np.repeat(block.gram_begin[word] - (np.cumsum(size[word]) - size[word]), size[word]) + np.arange(size[word].sum())
+        words.append(np.unique(block.word[word], return_counts=True))
+        spot = np.repeat(begin[word] - (np.cumsum(size[word]) - size[word]), size[word]) + np.arange(size[word].sum())
         who = np.repeat(doc, size[word])
-        for g in block.grams:
+        for g in hashed:
             # An n-gram counts once for each document.
             own = g[spot]
             order = np.lexsort((own, who))
             own, at = own[order], who[order]
             once = np.ones(len(own), dtype=bool)
             once[1:] = (own[1:] != own[:-1]) | (at[1:] != at[:-1])
-            grams.append(own[once & (own != GRAM_HASHES)])
+            grams.append(np.unique(own[once & (own != GRAM_HASHES)], return_counts=True))
+        if len(grams) >= 8 * len(GRAMS):
+            grams = [_counted(grams)]
     return _frequent(words, MAX_WORDS, least), _frequent(grams, MAX_GRAMS, least)
 
 
@@ -182,9 +202,10 @@ class Network:
 
     def look_up(self, block: Block) -> Inputs:
         """Which vectors the distinct words of a block use."""
-        size = np.diff(np.append(block.gram_begin, len(block.grams[0])))
+        begin, hashed = block.gram_hashes()
+        size = np.diff(np.append(begin, len(hashed[0])))
         owner = np.repeat(np.arange(len(block.word)), size)
-        rows = [_rank(self.grams, g) for g in block.grams]
+        rows = [_rank(self.grams, g) for g in hashed]
         known = [r < len(self.grams) for r in rows]
         row, word = np.concatenate([r[k] for r, k in zip(rows, known, strict=True)]), np.concatenate([owner[k] for k in known])
         order = np.argsort(word, kind="stable")
@@ -386,7 +407,7 @@ def train(texts: list[str], toxic: list[int], *, share: float | None = None, epo
         return net
     looked, looked_checks = [_pack(net.look_up(b)) for b, _ in batches], [_pack(net.look_up(b)) for b, _ in checks]
     for block, _ in batches + checks:
-        block.grams, block.words.buf = [], np.empty(0, dtype=np.uint8)  # looked up for good
+        block.words.buf = np.empty(0, dtype=np.uint8)  # looked up for good
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
